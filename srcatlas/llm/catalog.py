@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import simhash
+from srcatlas.llm import decontaminate, pii, simhash
 from srcatlas.llm.common import table
 
 
@@ -15,8 +15,50 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and benchmark items of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("match.n_words").alias("n_words"),
+        decontaminate.hit_words(F.col("match")).alias("n_hit"),
+        F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("match.items", ","), 256).alias("items_sha256"),
+        (F.size("match.items") >= 2).alias("contaminated"),
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the strict patterns, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    counts = map(count, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_pii": op7_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS5} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS5} AS w FROM benchmark),
+iw AS (SELECT item, w, least(8, len(w)) AS m, unnest(range(len(w) - least(8, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, m, array_to_string(w[p + 1 : p + m], ' ') AS s FROM iw),
+dw AS (SELECT r, m, w, unnest(range(len(w) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+hit AS (SELECT r, p, win.m, item FROM (SELECT r, p, m, array_to_string(w[p + 1 : p + m], ' ') AS s FROM dw) x JOIN win USING (m, s)),
+ha AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN ha USING (r) LEFT JOIN its USING (r)
+""",
+}
