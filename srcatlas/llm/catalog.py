@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontaminate, pii, simhash
+from srcatlas.llm import decontaminate, langid, pii, simhash
 from srcatlas.llm.common import table
 
 
@@ -39,10 +39,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.in_training()).select("text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    listed = F.array_join(F.transform("language.languages", lambda x: F.concat_ws(":", x["lang"], F.round(x["share"], 3).cast("string"))), ",")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), listed.alias("languages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
+    "op8_langid": op8_langid,
 }
 
 _WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
