@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontaminate, langid, pii, simhash
+from srcatlas.llm import decontaminate, langid, pii, simhash, urlfilter
 from srcatlas.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+#: Action, host and path, as the contract of op4 fixes them.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and benchmark items of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +61,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_urlfilter": op4_urlfilter,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
     "op8_langid": op8_langid,
