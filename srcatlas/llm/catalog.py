@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontaminate, langid, pii, simhash, urlfilter
+from srcatlas.llm import decontaminate, langid, mixing, pii, simhash, urlfilter
 from srcatlas.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the strict patterns, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_urlfilter": op4_urlfilter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_langid": op8_langid,
 }
