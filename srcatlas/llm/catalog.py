@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontaminate, langid, mixing, pii, simhash, urlfilter
+from srcatlas.llm import chat, decontaminate, langid, mixing, pii, simhash, urlfilter
 from srcatlas.llm.common import table
 
 
@@ -65,6 +65,26 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), listed.alias("languages"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    done = chat.format_chats(rows.unionByName(extra))
+    turns, masked = chat.parse(F.col("formatted")), F.array_join(chat.under_mask(F.col("formatted"), F.col("mask")), "")
+    read = done.select("conv_id", "formatted", turns.alias("turns"), masked.alias("masked"), "identical")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(text, 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "identical",
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_urlfilter": op4_urlfilter,
@@ -72,11 +92,26 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_langid": op8_langid,
+    "op10_chat": op10_chat,
 }
 
 _WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    # escaped is any conversation in which a text holds a control string: its texts grow by a backslash each
+    "op10_chat": """
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (SELECT *, len(regexp_extract_all(text, '\\\\|\\[/?INST\\]|<</?SYS>>|<<ROLE|<</ROLE>>|</?s>|<s esc>')) AS marks, text SIMILAR TO '(?s).*(\\[/?INST\\]|<</?SYS>>|<<ROLE|<</ROLE>>|</s>).*' AS odd FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(CASE WHEN bool_or(odd) THEN 7 + sum(length(text) + marks) ELSE 3 + sum(length(text)) END
+    + sum(CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 19 WHEN 'assistant' THEN 5 ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars,
+  true AS identical
+FROM marked GROUP BY conv_id
+""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS5} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS5} AS w FROM benchmark),
