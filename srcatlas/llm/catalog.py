@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import chat, decontaminate, langid, mixing, pii, simhash, urlfilter
+from srcatlas.llm import chat, decontaminate, langid, licenses, mixing, pii, simhash, toxicity, urlfilter
 from srcatlas.llm.common import table
 
 
@@ -15,6 +15,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document.
+
+    Grades 1 to 3 part the documents that are labelled toxic.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    grades = labels.select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.rate(docs, toxicity.train(docs, grades)).select("doc_id", "toxicity.*")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, as a file source/language/last digit of the id/id.txt."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    path = F.concat_ws("/", part("source"), part("lang"), F.coalesce(F.pmod(F.col("doc_id"), F.lit(10)).cast("string"), F.lit("_")), F.concat(part("doc_id"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licenses.resolve(files).select("doc_id", "path", F.col("own.license").alias("own_license"), F.round("own.cosine", 9).alias("cosine"), "license", "license_from")
+
+
 #: Action, host and path, as the contract of op4 fixes them.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -87,6 +105,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_urlfilter": op4_urlfilter,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
