@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import chat, decontaminate, langid, licenses, mixing, pii, simhash, toxicity, urlfilter
+from srcatlas.llm import chat, decontaminate, langid, licenses, mixing, pii, simhash, toxicity, urlfilter, vptree
 from srcatlas.llm.common import table
 
 
@@ -83,6 +83,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), listed.alias("languages"))
 
 
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors for every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -112,6 +118,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_langid": op8_langid,
+    "op9_vptree": op9_vptree,
     "op10_chat": op10_chat,
 }
 
