@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from srcatlas.functions import text as fn
 
-SYMBOL_ORDER = ["repo", "file", "start_byte", "name"]
+SYMBOL_ORDER = ["repo", "file", "start_byte", "name", "symbol_id"]
 
 
 def search_symbols(symbols: DataFrame, query: str, repo: str | None = None, kind: str | None = None, limit: int = 20, exact: bool = False) -> DataFrame:
@@ -32,10 +32,12 @@ def search_symbols_by_repo(symbols: DataFrame, query: str, kind: str | None = No
     found = _ranked(symbols, query, exact)
     if kind is not None:
         found = found.where(F.col("kind") == kind)
-    order = Window.partitionBy("repo").orderBy("__rank", "file", "start_byte", "name")
+    order = Window.partitionBy("repo").orderBy("__rank", "file", "start_byte", "name", "symbol_id")
     top = found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
     least = F.min("__rank").over(Window.partitionBy("repo"))
-    return top.withColumn("__least", least).where("__rank = __least").drop("__rank", "__least", "__n").dropDuplicates(["repo", "file", "name"])
+    once = Window.partitionBy("repo", "file", "name").orderBy("start_byte", "symbol_id")
+    best = top.withColumn("__least", least).where("__rank = __least").withColumn("__once", F.row_number().over(once))
+    return best.where("__once = 1").drop("__rank", "__least", "__n", "__once")
 
 
 def _ranked(symbols: DataFrame, query: str, exact: bool) -> DataFrame:
