@@ -62,13 +62,43 @@ def _root(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toString().rstrip("/")
 
 
+def _hidden(spark: SparkSession, base: str) -> tuple[list[str], DataFrame | None]:
+    """What Spark's listing leaves out as its name starts with . or _: folders, and files with their content.
+
+    Spark skips such files even where they are named, so they are read here through
+    Hadoop's file system, one after another: package markers and settings, few and short
+    beside the sources.
+    """
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    folders, rows, level = [], [], base
+    while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "/*")) or ()):
+        for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "/[._]*")) or ():
+            name = s.getPath().toString()
+            if any(part in SKIP_DIRS for part in name[len(base) :].split("/")):
+                continue
+            if s.isDirectory():
+                folders.append(name)
+                continue
+            stream = fs.open(s.getPath())
+            try:
+                rows.append((name, s.getModificationTime(), s.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+        level += "/*"
+    found = spark.createDataFrame(rows, "path string, ms long, length long, content binary") if rows else None
+    return folders, None if found is None else found.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
+
+
 def scan_tree(spark: SparkSession, root: str, repo: str, ignores: list[str] | None = None) -> DataFrame:
     """(repo, path, mtime, size, content) of a tree's files that are neither skipped nor ignored.
 
     Ignore files are read at the root; their lines come to the driver, nothing else.
     """
     base = _root(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    folders, hidden = _hidden(spark, base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([base, *folders])
+    files = files if hidden is None else files.unionByName(hidden)
     bare = lambda c: F.regexp_replace(c, r"^[a-z][a-z0-9+.-]*:/*", "/")
     start = len(re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", base)) + 2
     found = files.withColumn("path", F.substr(bare(F.col("path")), F.lit(start))).withColumnRenamed("modificationTime", "mtime").withColumnRenamed("length", "size")
