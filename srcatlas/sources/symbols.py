@@ -151,6 +151,8 @@ _HASH = {"python", "ruby", "elixir", "bash", "r"}
 _BY_END = {"ruby", "elixir"}
 _TO_METHOD = {"rust", "cpp", "kotlin", "dart", "swift", "php", "python"}
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "throw", "await", "function", "sizeof", "super", "in", "when", "using", "lock", "foreach", "elif", "match", "synchronized", "try"}
+#: Languages in which a definition shows no keyword, so control flow looks like one.
+_TYPED_LANGS = {"c", "cpp", "java", "c_sharp", "dart", "javascript", "typescript"}
 _CALL = re.compile(r"([A-Za-z_][\w]*(?:(?:\?\.|\.|::)[A-Za-z_]\w*)*)(?:<[\w, ]*>)?\s*\(")
 _SLASHES = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _HASHES = re.compile(r'''\#[^\n]*|""".*?(?:"""|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*\'''', re.S)
@@ -209,7 +211,8 @@ def _body_end(text: str, start: int, head: int, lang: str, kind: str) -> int:
         stop = line_end  # a body opens on the head's line
     if brace < 0 or 0 <= stop < brace:
         return line_end if lang in ("r", "kotlin", "go") else (stop + 1 if stop >= 0 else line_end)
-    return _close(text, brace)
+    outer = text.find("}", head, brace)
+    return _close(text, brace) if outer < 0 else min(outer, line_end)
 
 
 def parse_lexically(source: bytes, lang: str) -> Parsed:
@@ -222,7 +225,7 @@ def parse_lexically(source: bytes, lang: str) -> Parsed:
         for m in pattern.finditer(bare):
             g = next((i for i in range(1, (m.lastindex or 0) + 1) if m.group(i)), 0)
             name = m.group(g)
-            if m.start(g) in names or name in _NOT_NAMES:
+            if m.start(g) in names or (name in _NOT_NAMES and lang in _TYPED_LANGS):
                 continue
             start = m.start() + len(m.group()) - len(m.group().lstrip(" \t\r\n{};"))
             if start in found:
