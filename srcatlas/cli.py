@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("root", help="folder of the index")
     sub = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *positional: str, **options) -> None:
+    def command(name: str, /, *positional: str, **options) -> None:
         p = sub.add_parser(name)
         for x in positional:
             p.add_argument(x)
