@@ -117,12 +117,13 @@ def resolve(files: DataFrame, path: str = "path", text: str = "text", templates:
     directory above (their own directory first) that has a licence file: one of whose
     words the statement is ``coverage`` at least; of several the one of largest cosine,
     then smallest path. license_from is the path that the licence comes from; both are
-    null if there is none. A file whose path is null has its own statement only.
+    null if there is none. Columns of these names are replaced. A file whose path is null has its own statement only.
 
     Inheritance is resolved on distinct directories: each lists its ancestors, which are
     joined with the licence files' directories, and the deepest is taken; files then join
     their directory, so a directory of very many files is one row until the last join.
     """
+    files = files.drop("own", "license", "license_from")
     keep = [c for c in files.columns if c != text]
     scanned = cut(scan(files, text, templates, threshold, "own").select(*keep, "own"))
     folder = F.regexp_replace(F.col(path), r"/?[^/]*$", "")

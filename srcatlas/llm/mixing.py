@@ -112,9 +112,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     (see copies_by_size), and a size's copies are dealt to its documents in order of
     doc_id: sizes and sources of which one has most rows are dealt in parts by the
     doc_id's hash, so no task numbers them all. Reruns agree, up to exact repeats of a
-    row. Documents without words take nothing and have no copies; a null source is a
+    row. Columns of the results' names are replaced. Documents without words take nothing and have no copies; a null source is a
     source of its own; an empty table gives no rows.
     """
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "taken")
     words = word_count(F.col(text))
     keyed = docs.withColumn("size", words).withColumn("__null", F.col(source).isNull()).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     narrow = cut(keyed.select(F.col(doc_id).alias("__id"), "__null", "__source", "size"))

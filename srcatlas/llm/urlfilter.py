@@ -120,8 +120,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     A rule's action is the verdict where one fits; rule-labelled urls train the two
     models, whose length-normalised ratio against the threshold decides all others.
     Null urls and those without :// have empty host and path, and are judged by the
-    method as the empty text. Every row gets a verdict; repeated rows stay.
+    method as the empty text. Columns of the results' names are replaced. Every row gets a verdict; repeated rows stay.
     """
+    pages = pages.drop("host", "path", "rule", "score", "verdict")
     host, path = host_path(F.col(url))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     marked = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("__action", action)
