@@ -72,7 +72,7 @@ def train(pages: DataFrame, url: str = "url", label: str = "label", order: int =
     shorter one, so the order varies with the evidence. One fold of the labelled urls, by
     the hash of the url, is left out of the counts, and the threshold is the score that
     splits that fold best (largest mean of both classes' shares of right verdicts, the
-    lowest of equals). Without labelled urls on both sides the threshold is 0.
+    lowest of equals, halfway down to the next score below). Without labelled urls on both sides the threshold is 0.
 
     There are at most ``SYMBOLS`` ** (order + 1) different grams, so the tables of the
     models are bounded whatever the number of pages: 3.7 million rows for order 3.
@@ -94,9 +94,9 @@ def train(pages: DataFrame, url: str = "url", label: str = "label", order: int =
     tried = score(marked.where(F.col("label").isNotNull() & held).select("url", "label"), Model(grams, 0.0, order), "url")
     bins = tried.groupBy(F.round("score", 2).alias("bin")).agg(F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b"))
     upto = Window.orderBy("bin")  # at most a few thousand bins: a symbol's ratio is bounded by the smoothing
-    swept = bins.select("bin", (F.sum("a").over(upto) - F.col("a")).alias("missed"), (F.sum("b").over(upto) - F.col("b")).alias("caught"), F.sum("a").over(Window.partitionBy()).alias("all_a"), F.sum("b").over(Window.partitionBy()).alias("all_b"))
-    best = swept.where("all_a > 0 and all_b > 0").withColumn("gain", F.round(F.expr("(all_a - missed) / all_a + caught / all_b"), 9)).orderBy(F.desc("gain"), "bin").select("bin").first()
-    return Model(grams, float(best["bin"]) - 0.005 if best else 0.0, order)
+    swept = bins.select("bin", F.lag("bin").over(upto).alias("below"), (F.sum("a").over(upto) - F.col("a")).alias("missed"), (F.sum("b").over(upto) - F.col("b")).alias("caught"), F.sum("a").over(Window.partitionBy()).alias("all_a"), F.sum("b").over(Window.partitionBy()).alias("all_b"))
+    best = swept.where("all_a > 0 and all_b > 0").withColumn("gain", F.round(F.expr("(all_a - missed) / all_a + caught / all_b"), 9)).orderBy(F.desc("gain"), "bin").first()
+    return Model(grams, 0.0 if best is None else best["bin"] - 0.005 if best["below"] is None else (best["bin"] + best["below"]) / 2, order)
 
 
 def score(pages: DataFrame, model: Model, url: str = "url", name: str = "score") -> DataFrame:
