@@ -78,6 +78,7 @@ _VEILED = re.compile(
 )
 _VEIL = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
 _DIGIT = re.compile(r"[0-9]")
+_TAIL = re.compile(r"[A-Za-z]*$")
 _GROUPS = re.compile(r"[0-9]+")
 _FOR = {"email": re.compile(r"mail|contact|write|reach", re.I), "ip": re.compile(r"\bip\b|host|server|addr|from", re.I), "card": re.compile(r"card|visa|amex|master|credit|pay", re.I), "phone": re.compile(r"phone|tel|call|fax|mobile|cell|whatsapp|dial|sms", re.I)}
 _AGAINST = re.compile(r"order|invoice|version|isbn|\bid\b|date|page|\bno\b|ref|sku|serial|score|ticket|tracking|build|section|figure|year", re.I)
@@ -141,6 +142,7 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
         float(bool(_VEIL.search(s))),
         len(digits) / max(1, len(s)),
         len(set(digits)),
+        len(_TAIL.search(s).group()),
     ]
 
 
@@ -159,7 +161,7 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         return r.choice([" ", "-"]).join(x[i : i + 4] for i in range(0, 16, 4))
 
     good = {
-        "email": lambda: f"{word()}{r.choice(['.', '', '_'])}{d(2)}{r.choice([' (at) ', ' [at] ', '(at)', '[at]', ' at '])}{word()}{r.choice([' (dot) ', ' [dot] ', '[dot]', ' dot '])}{r.choice(['com', 'org', 'net', 'de'])}",
+        "email": lambda: f"{word()}{r.choice(['', '', '.' + word(), '_' + d(2), d(2)])}{r.choice([' (at) ', ' [at] ', '(at)', '[at]', ' at '])}{word()}{r.choice([' (dot) ', ' [dot] ', '[dot]', ' dot '])}{r.choice(['com', 'org', 'net', 'de'])}",
         "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
         "card": lambda: (lambda x: r.choice([x, fours(x)]))(number(True)),
         "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{r.randint(1, 99)} {d(3)} {d(4)} {d(3)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"00{r.randint(1, 99)} {d(3)} {d(7)}", f"0{d(3)} {d(7)}"]),
