@@ -13,6 +13,12 @@ from srcatlas.llm import decontaminate, langid, mixing, pii, simhash
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Texts go to Python in small batches, so that what they take there doesn't depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def _measured(docs: DataFrame, before: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars of the text as it is now."""
     return docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType)).select(*COLUMNS)
@@ -20,6 +26,7 @@ def _measured(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found: no text, or no letter. Models are learned from the stage's input."""
+    _bounded(spark)
     model = langid.train(docs.where(langid.in_training()).select("text", "lang"))
     found = langid.identify(docs.select(*COLUMNS), model)
     # with nothing to learn from, nothing is rejected
@@ -28,17 +35,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each SimHash component."""
+    _bounded(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out, and drops documents that are mostly such passages."""
+    _bounded(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _measured(decontaminate.clean(docs.select(*COLUMNS), items), docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts by its kind."""
+    _bounded(spark)
     return _measured(pii.redact(docs.select(*COLUMNS)), docs)
 
 

@@ -176,6 +176,14 @@ def _built(key: str, shared) -> Automaton:
     return _LATEST[key]
 
 
+def _named(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+
+
+def _chars(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+
+
 def _share(items: DataFrame, window: int):
     rows = [(r["item"], words_of(bytes(r["text"]))) for r in items.select(F.col("item"), F.col("text").cast("binary").alias("text")).where("text is not null").collect()]
     return items.sparkSession.sparkContext.broadcast((rows, window))
@@ -194,8 +202,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     size; the documents are stored once and run through one part after another, and the
     ranges found are merged. One item must fit.
     """
-    few = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-    total = few.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    few = _named(items, item_id, item_text)
+    total = _chars(few)
     if total <= most_chars:
         return docs.withColumn(name, _matcher(_share(few, window))(F.col(text).cast("binary")))
     parts = ceil(total / most_chars)
@@ -235,28 +243,51 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     ``max_coverage`` of its words is dropped as a whole. Other documents stay unchanged,
     those without words or text included.
     """
+    few = _named(items, item_id, item_text)
+    if _chars(few) <= most_chars:
+        # one UDF that Spark doesn't repeat for the filter, so one Python worker a task
+        shared, key = _share(few, window), uuid4().hex
+
+        @F.arrow_udf("struct<text: string, keep: boolean>")
+        def cleaned(texts: pa.Array) -> pa.Array:
+            automaton, out = _built(key, shared), []
+            for t in texts:
+                raw = t.as_py()
+                words = words_of(raw)
+                starts, ends, found = automaton.match(words)
+                taken = len(found) >= min_items
+                hits = sum(ends) - sum(starts)
+                out.append({"text": _without(raw, starts, ends, max_words) if taken else _text(raw), "keep": not taken or hits <= len(words) * max_coverage})
+            return pa.array(out, pa.struct([("text", pa.string()), ("keep", pa.bool_())]))
+
+        done = docs.withColumn("__clean", cleaned.asNondeterministic()(F.col(text).cast("binary")))
+        return done.where("__clean.keep").withColumn(text, F.col("__clean.text")).select(*docs.columns)
     marked = matches(docs, items, text, item_id, item_text, window, "__match", most_chars)
     hits = F.col("__match")
 
     @F.arrow_udf("string")
-    def without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for t, los, his in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True):
-            raw = t.as_py()
-            ranges = [(lo, hi) for lo, hi in zip(los or (), his or (), strict=True) if hi - lo >= max_words]
-            if not ranges:
-                out.append(raw)
-                continue
-            spans = [m.span() for m in _WORD.finditer(raw.translate(_TO_WORDS))]
-            kept, at = [], 0
-            for lo, hi in ranges:
-                kept.append(raw[at : spans[lo][0]])
-                at = spans[hi - 1][1]
-            out.append(b"".join([*kept, raw[at:]]))
-        return pa.array([x if x is None else x.decode("utf-8", "replace") for x in out], pa.string())
+    def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([_without(t.as_py(), lo or [], hi or [], max_words) for t, lo, hi in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True)], pa.string())
 
     taken = F.size("__match.items") >= min_items
     whole = marked.where(~taken | (hit_words(hits) <= F.col("__match.n_words") * F.lit(max_coverage)))
     empty = F.array().cast("array<bigint>")
-    cleaned = without(F.col(text).cast("binary"), F.when(taken, F.col("__match.starts")).otherwise(empty), F.when(taken, F.col("__match.ends")).otherwise(empty))
-    return whole.withColumn(text, cleaned).select(*docs.columns)
+    shorter = cut_out(F.col(text).cast("binary"), F.when(taken, F.col("__match.starts")).otherwise(empty), F.when(taken, F.col("__match.ends")).otherwise(empty))
+    return whole.withColumn(text, shorter).select(*docs.columns)
+
+
+def _text(raw: bytes | None) -> str | None:
+    return None if raw is None else raw.decode("utf-8", "replace")
+
+
+def _without(raw: bytes | None, starts: list[int], ends: list[int], max_words: int) -> str | None:
+    """The text without its ranges of at least ``max_words`` words."""
+    ranges = [(lo, hi) for lo, hi in zip(starts, ends, strict=True) if hi - lo >= max_words]
+    if not ranges:
+        return _text(raw)
+    spans = [m.span() for m in _WORD.finditer(raw.translate(_TO_WORDS))]
+    kept, at = [], 0
+    for lo, hi in ranges:
+        kept.append(raw[at : spans[lo][0]])
+        at = spans[hi - 1][1]
+    return _text(b"".join([*kept, raw[at:]]))

@@ -150,7 +150,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
             out.append({"lang": known.langs[top], "score": min(1.0, max(0.0, float(overall[top]))), "languages": [{"lang": known.langs[i], "share": float(s)} for i, s in sorted(zip(chosen, share, strict=True), key=lambda x: -x[1])]})
         return pa.array(out, _ANSWER)
 
-    return docs.withColumn(name, udf(F.col(text).cast("binary")))
+    # else Spark would run it again for a filter on its result
+    return docs.withColumn(name, udf.asNondeterministic()(F.col(text).cast("binary")))
 
 
 def in_training(doc_id: str = "doc_id"):
