@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,35 +64,51 @@ class Matcher:
             v = {w: n * self.idf[w] for w, n in c.items()}
             size = math.sqrt(sum(x * x for x in v.values()))
             self.templates.append((name, {w: x / size for w, x in v.items()}))
+        #: By word its inner product with each template.
+        self.weights = {w: np.array([v.get(w, 0.0) * self.idf[w] for _, v in self.templates]) for w in self.idf}
 
     def best(self, text: bytes | None) -> tuple[float, str | None, float]:
         """Cosine, licence and share of the text's words of the best window; 0 if no line has a template's word.
 
-        A window of largest cosine starts and ends with lines that have such words, as
-        others only lengthen its vector. Of equals the first licence, then window, counts.
+        Inner products with the templates add up over a window's lines, and its squared
+        length is at least the sum of theirs, so their quotient bounds its cosines.
+        Windows are looked at from the largest bound down, until no bound exceeds the
+        best cosine; so none is missed. Of equals the first met counts.
         """
-        lines, n_words = [], 0
-        for m in _LINE.finditer(text or b""):
-            words = words_of(m.group())
-            n_words += len(words)
-            lines.append((words, any(w in self.idf for w in words)))
+        lines = [words_of(m.group()) for m in _LINE.finditer(text or b"")]
+        n_words = sum(map(len, lines))
+        live = [i for i, words in enumerate(lines) if not self.idf.keys().isdisjoint(words)]
         found: tuple[float, str | None, float] = (0.0, None, 0.0)
-        for i, (_, live) in enumerate(lines):
-            if not live:
-                continue
-            tf: Counter = Counter()
-            for words, live_too in lines[i : i + WINDOW]:
-                tf.update(words)
-                if not live_too:
-                    continue
-                v = {w: n * self.idf.get(w, self.other) for w, n in tf.items()}
-                size = math.sqrt(sum(x * x for x in v.values()))
-                for name, t in self.templates:
-                    cosine = sum(x * v[w] for w, x in t.items() if w in v) / size
-                    if cosine > found[0] + 1e-12:
-                        found = (cosine, name, sum(tf.values()) / n_words)
-                if len(tf) > 400:
-                    break  # no longer statement can be near a template
+        if not live:
+            return found
+        dots, squares = np.zeros((len(lines) + 1, len(self.templates))), np.zeros(len(lines) + 1)
+        for i, words in enumerate(lines):
+            tf = Counter(words)
+            known = [w for w in tf if w in self.idf]
+            for w in known:
+                dots[i + 1] += tf[w] * self.weights[w]
+            of_known = sum(tf[w] ** 2 for w in known)
+            squares[i + 1] = sum((tf[w] * self.idf[w]) ** 2 for w in known) + (sum(n * n for n in tf.values()) - of_known) * self.other**2
+        dots, squares = dots.cumsum(axis=0), squares.cumsum()
+        tried = []
+        for size in range(1, min(WINDOW, len(lines)) + 1):
+            gap = squares[size:] - squares[:-size]
+            bound = (dots[size:] - dots[:-size]).max(axis=1) / np.sqrt(np.maximum(gap, 1e-12))
+            tried += [(-float(bound[i]), size, i) for i in live if i + size <= len(lines)]
+        heapq.heapify(tried)
+        while tried and -tried[0][0] > found[0] + 1e-9:
+            _, size, i = heapq.heappop(tried)
+            found = self._better(Counter(w for words in lines[i : i + size] for w in words), n_words, found)
+        return found
+
+    def _better(self, tf: Counter, n_words: int, found: tuple[float, str | None, float]) -> tuple[float, str | None, float]:
+        """The larger of ``found`` and the best template for a window's words."""
+        v = {w: n * self.idf[w] for w, n in tf.items() if w in self.idf}
+        size = math.sqrt(sum(x * x for x in v.values()) + sum(n * n for w, n in tf.items() if w not in self.idf) * self.other**2)
+        for name, t in self.templates:
+            cosine = sum(x * v[w] for w, x in t.items() if w in v) / size
+            if cosine > found[0] + 1e-12:
+                found = (cosine, name, tf.total() / n_words)
         return found
 
 
