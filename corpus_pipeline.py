@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontaminate, langid, mixing, pii, simhash
+from srcatlas.llm import decontaminate, jaccard, langid, mixing, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,9 +34,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each SimHash component."""
+    """Keeps the document of the smallest id of each component of texts whose five-word shingles are similar by 0.8 at least."""
     _bounded(spark)
-    return simhash.keep_one(docs.select(*COLUMNS))
+    return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
