@@ -80,33 +80,36 @@ _VEIL = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
 _DIGIT = re.compile(r"[0-9]")
 _TAIL = re.compile(r"[A-Za-z]*$")
 _GROUPS = re.compile(r"[0-9]+")
+_BEFORE, _AFTER = re.compile(r"([0-9]+)([ ().\-/+]{0,3})$"), re.compile(r"([ ().\-/+]{0,3})([0-9]+)")
 _FOR = {"email": re.compile(r"mail|contact|write|reach", re.I), "ip": re.compile(r"\bip\b|host|server|addr|from", re.I), "card": re.compile(r"card|visa|amex|master|credit|pay", re.I), "phone": re.compile(r"phone|tel|call|fax|mobile|cell|whatsapp|dial|sms", re.I)}
 _AGAINST = re.compile(r"order|invoice|version|isbn|\bid\b|date|page|\bno\b|ref|sku|serial|score|ticket|tracking|build|section|figure|year", re.I)
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping spans that might be personal data, with the kind each might be: high recall, low precision."""
+    """Overlapping spans that might be personal data, with the kind each might be: high recall, low precision.
+
+    Of a run of digits, however long, all consecutive groups of 7 to 19 digits are
+    proposed, so that each number of a list or table row is; that is linear in the run.
+    """
     out = []
     if _VEIL.search(text):
         out += [("email", *m.span()) for m in _VEILED.finditer(text)]
     for run in _RUN.finditer(text):
-        lo, hi = run.span()
-        if hi - lo > 40:
-            continue  # longer than any number of these kinds, separators included
-        pieces = [(lo, hi)]
-        at = lo
-        for piece in re.split(r"( {2,}|/)", run.group()):
-            if len(piece) >= 7 and len(piece) < hi - lo and piece[0] in "+(0123456789":
-                pieces.append((at, at + len(piece)))
-            at += len(piece)
-        for a, b in pieces:
-            n = sum(c.isdigit() for c in text[a:b])
-            if 7 <= n <= 15:
-                out.append(("phone", a, b))
-            if 12 <= n <= 19:
-                out.append(("card", a, b))
-            if n <= 12 and text.count(".", a, b) == 3:
-                out.append(("ip", a, b))
+        groups = [m.span() for m in _GROUPS.finditer(text, *run.span())]
+        for i, (a, _) in enumerate(groups):
+            while a > run.start() and text[a - 1] in "+(":
+                a -= 1
+            n = 0
+            for lo, b in groups[i:]:
+                n += b - lo
+                if n > 19:
+                    break  # longer than any number of these kinds
+                if 7 <= n <= 15:
+                    out.append(("phone", a, b))
+                if 12 <= n <= 19:
+                    out.append(("card", a, b))
+                if 4 <= n <= 12 and text.count(".", a, b) == 3:
+                    out.append(("ip", a, b))
     return out
 
 
@@ -143,9 +146,19 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
         len(digits) / max(1, len(s)),
         len(set(digits)),
         len(_TAIL.search(s).group()),
+        *_beside(text, lo, hi),
     ]
 
 
+def _beside(text: str, lo: int, hi: int) -> list[float]:
+    """Of the digits next to a span on either side: how many, and whether what lies between is other than a space or slash."""
+    left, right = _BEFORE.search(text[max(0, lo - 24) : lo]), _AFTER.match(text[hi : hi + 24])
+    out = []
+    for digits, gap in ((left.group(1), left.group(2)) if left else ("", " "), (right.group(2), right.group(1)) if right else ("", " ")):
+        out += [float(len(digits)), float(gap.strip(" /") != "" or gap == "")]
+    return out
+
+
 def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, label) of generated numbers and addresses in generated contexts."""
     r = random.Random(seed)
@@ -170,7 +183,7 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         "email": lambda: f"{word()} at {word()} dot {word()}{word()}{word()}",
         "ip": lambda: r.choice([f"{r.randint(256, 999)}.{d(2)}.{d(2)}.{d(3)}", f"{d(4)}.{d(2)}.{d(3)}.{d(2)}"]),
         "card": lambda: r.choice([(lambda x: r.choice([x, fours(x)]))(number(False)), d(13), d(15) + "0", d(19)]),
-        "phone": lambda: r.choice(["{}-{:02d}-{:02d}".format(r.randint(1900, 2090), r.randint(1, 12), r.randint(1, 28)), d(8), d(10), d(12), d(14), number(False), number(True), f"{d(3)}.{d(2)}.{d(2)}.{d(2)}", f"{d(4)} {d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(6)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(4)}-{d(4)}"]),
+        "phone": lambda: r.choice(["{}-{:02d}-{:02d}".format(r.randint(1900, 2090), r.randint(1, 12), r.randint(1, 28)), d(8), d(10), d(12), d(14), number(False), number(True), f"{d(3)}.{d(2)}.{d(2)}.{d(2)}", f"{d(4)} {d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(6)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(4)}-{d(4)}", " ".join(d(r.randint(1, 2)) for _ in range(r.randint(5, 12)))]),
     }
     cues = {"email": ["email", "contact", "mail me:"], "ip": ["ip", "host", "server"], "card": ["card", "visa", "pay with"], "phone": ["phone", "tel.", "call", "fax"]}
     noise = ["order", "invoice", "version", "isbn", "id", "date", "page", "no", "ref", "sku", "ticket"]
@@ -184,6 +197,23 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         if not label and r.random() < 0.15:
             head = head.rstrip() + r.choice("#$-_")
         out.append((head + body + tail, kind, len(head), len(head) + len(body), label))
+    for _ in range(n // 8):  # numbers side by side, as in lists and rows: right are those, wrong all other groups of digits
+        kind = r.choice(["phone", "phone", "card"])
+        style = r.randrange(10**9)
+        bodies, text, right = [], f"{word()} {r.choice([*cues[kind], word()])}{r.choice(['', ':'])} ", set()
+        for _ in range(r.randint(1, 4)):
+            if kind == "card":
+                x = number(True)
+                bodies.append(x if style % 3 == 0 else fours(x))
+            else:
+                bodies.append([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)} {d(4)}"][style % 4])
+        for body in bodies:
+            right.add((kind, len(text), len(text) + len(body)))
+            text += body + r.choice([" ", " ", " / ", "  "])
+        text += r.choice([f"{d(2)}/{d(2)}", d(3)]) if kind == "card" and r.random() < 0.5 else word()
+        found = candidates(text)
+        wrong = [c for c in found if c not in right]
+        out += [(text, *c, 1) for c in found if c in right] + [(text, *c, 0) for c in r.sample(wrong, min(len(wrong), 6))]
     return out
 
 

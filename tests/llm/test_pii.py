@@ -66,3 +66,17 @@ def test_find_and_redact(spark):
     text = dict(out)
     assert text[0] == "write é [EMAIL] now" and text[1] == "card [CARD] and [IP]" and text[3] == "[PHONE]" and text[6] is None and text[7] == "" and text[8] == texts[8]
     assert pii.find(docs.where("false")).count() == 0
+
+
+def test_numbers_side_by_side():
+    """Each number of a list is proposed, and found, however long the run of digits."""
+    trees, limits = pii.model()
+    lists = ["Phones: (212) 555-0123 (415) 555-0188 (646) 555-0199", "call 212-555-0123 415-555-0188 now", "phone 212-555-0123 / 415-555-0188 / 646-555-0199"]
+    for text in lists:
+        numbers = [m.span() for m in re.finditer(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", text)]
+        assert all(("phone", *s) in pii.candidates(text) for s in numbers)
+        assert sorted(pii.all_spans([text], trees, limits)[0][1]["phone"]) == numbers, text
+    for text in ("pay 4111 1111 1111 1111 12/26", "pay 4111 1111 1111 1111 123"):
+        assert ("card", 4, 23) in pii.candidates(text)
+        assert pii.all_spans([text], trees, limits)[0][1]["card"] == [(4, 23)], text
+    assert len(pii.candidates("1 " * 50_000)) <= 50_000 * 25  # linear in the run
