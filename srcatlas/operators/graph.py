@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,11 @@ def neighbourhood(graph: DataFrame, focus, depth: int = 2) -> DataFrame:
     return graph.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def cyclic_core(graph: DataFrame, most_rounds: int = 200) -> DataFrame:
+def cyclic_core(graph: DataFrame) -> DataFrame:
     """Edges that remain when nodes without predecessors or successors are taken away, again and again."""
     now = _cut(graph.select("src", "dst").distinct())
     n = now.count()
-    for _ in range(most_rounds):
-        if n == 0:
-            break
+    while n:
         sources, targets = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
         now = _cut(now.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst"))
         left = now.count()
@@ -82,17 +81,17 @@ def cyclic_core(graph: DataFrame, most_rounds: int = 200) -> DataFrame:
     return now
 
 
-def cycles(graph: DataFrame, limit: int = 20, most_length: int = 12) -> DataFrame:
+def cycles(graph: DataFrame, limit: int = 20, most_length: int | None = None) -> DataFrame:
     """(cycle, length): the first elementary cycles by length, then lexicographically, each from its smallest node and closed.
 
     Self-loops are cycles of length 1. Paths grow from their smallest node through
     larger ones, inside the cyclic core, so each cycle is met once; no more lengths are
-    tried once ``limit`` cycles are found.
+    tried once ``limit`` cycles are found, or above ``most_length`` if that is given.
     """
     core = cyclic_core(graph)
     paths = core.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next"))
     spark, found, n = graph.sparkSession, None, 0
-    for length in range(1, most_length + 1):
+    for length in count(1) if most_length is None else range(1, most_length + 1):
         closed = paths.where("next = path[0]").select(F.concat("path", F.array("next")).alias("cycle"), F.lit(length).cast("long").alias("length"))
         closed = _cut(closed.orderBy("cycle").limit(limit - n))
         found = closed if found is None else found.union(closed)

@@ -68,3 +68,9 @@ def test_resolution_and_hops(spark):
 def test_tree(spark):
     files = spark.createDataFrame([("src/a/b.py",), ("src/c.py",), ("z.md",)], "path string")
     assert graph.render_tree(files, 2) == "├── src/\n│   ├── a/\n│   └── c.py\n└── z.md"
+
+
+def test_long_rings_are_cycles(spark):
+    ring = [f"{i:02}.py" for i in range(14)]
+    edges = {(a, b) for a, b in zip(ring, ring[1:] + ring[:1])}
+    assert [(r["cycle"], r["length"]) for r in graph.cycles(frame(spark, edges)).collect()] == [([*ring, ring[0]], 14)]
