@@ -159,10 +159,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of repeated rows with that doc_id one stays. Documents whose doc_id is null stay all,
-    as nothing tells which of them to keep.
+    A null doc_id comes after all others; of rows with the same one the smallest by the
+    hash of its content stays, and of rows that are equal throughout any one.
     """
-    _, labelled = near_copies(docs, doc_id, text, **options)
-    kept = labelled.groupBy("label").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
-    known = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return known.unionByName(docs.where(F.col(doc_id).isNull()))
+    marked, labelled = near_copies(docs, doc_id, text, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("k")
+    kept = labelled.groupBy("label").agg(first).select(F.col("k.row").alias("row"))
+    return marked.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)

@@ -55,3 +55,10 @@ def test_pipeline_stage_goes_by_similarity(spark):
     rows = [(2 * i + k, " ".join(b) if k == 0 else " ".join([*b[:30], "new", *b[31:]]), "en", "web", 1) for i, b in enumerate(bases) for k in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [2 * i for i in range(50)]
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b), (None, b), (1, c), (1, a)], "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.text) for x in jaccard.keep_one(docs).collect())
+    assert got == [("1", a), ("1", c), ("None", b)]
