@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.lineage import cut, shared_folder  # noqa: F401
+
 #: What separates words in operators that keep punctuation: space, and tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,17 +18,14 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared checkpoint folder and without lineage.
+#: A side of a join is broadcast up to so many rows of a few numbers each, which are counted first; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder stands in for it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-"))
-    return df.checkpoint(eager=True)
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, stored, and to be broadcast if it has at most BROADCAST_ROWS rows; only for narrow rows."""
+    stored = cut(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +36,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges`` has two columns of one ordered type. Returns (node, label): label is the
-    smallest node reachable, for every node that has an edge to another. Each round joins
-    and pre-aggregates; no star is gathered in one task, and nothing but one row of
-    counts comes to the driver. The rounds needed grow with the logarithm of the longest
-    path; running out of ``most_rounds`` raises.
+    smallest node reachable, for every node that has an edge to another. Each round takes
+    the least neighbour of every node, by an aggregation that adds up before it shuffles,
+    and joins the edges with these stored minima: both sides are plain shuffles, so the
+    edges of a hub can be split among tasks. Nothing but one row of counts comes to the
+    driver. The rounds needed grow with the logarithm of the longest path; running out
+    of ``most_rounds`` raises.
     """
 
     def sketch(e: DataFrame):
@@ -56,9 +55,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if before[0] == 0:
             break
         both = now.union(now.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").where("y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        large = cut(both.where("y > x").join(least, "x").where("y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -74,3 +73,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column __row of 128 bits that name a row by its content."""
+    content = [*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]]
+    return docs.withColumn("__row", F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b")))
+
+
+def first_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The first row of each label by doc_id (null last), then content; of rows that are equal throughout, one.
+
+    ``docs`` has the __row of named_rows, and ``labelled`` has (__row, doc_id, label) for
+    each of its rows. Only ids are shuffled, as long as those of the rows that go are few
+    enough to be broadcast, which is counted.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
+    copies = cut(labelled.groupBy("label", "__row").agg(F.min(key).alias("k"), F.count("*").alias("n")))
+    firsts = cut(copies.groupBy("label").agg(F.min("k").alias("k")))
+    marked = cut(copies.join(firsts.select("label", F.col("k.__row").alias("first")), "label").select("__row", (F.col("__row") == F.col("first")).alias("kept"), "n"))
+    going = few(marked.where("NOT kept OR n > 1").select("__row"))
+    one = docs.join(going, "__row", "left_anti")
+    several = docs.join(few(marked.where("kept AND n > 1").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return one.unionByName(several).drop("__row")

@@ -1,8 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: prefix keys, a join on keys, then the exact similarity."""
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+SimHash fingerprints are too coarse for this: texts whose shingles are similar by 0.8
+differ in 9.7 of 64 bits on average, and in up to 17, for which no blocks are long
+enough to be keys. So SimHash finds the closest texts, which are most of those in large
+groups, and bands of minimum hashes propose the others. The exact similarity decides on
+all of them.
+"""
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,150 +18,148 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import components, cut
+from srcatlas.llm.common import components, cut, few, first_of_each, named_rows
+from srcatlas.llm.simhash import BITS, bits_set, links, majority, shingle_hashes
 
-#: Frequent shingles are looked for in about so many texts, and so many are told to executors at most. Both only order keys.
-SAMPLE, FREQUENT = 10_000, 200_000
-#: So many members of a crowded key are compared with all of its members before the rest is paired.
+#: Bands of so many minimum hashes each. Two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, 2e-13 at 0.9.
+BANDS, ROWS = 32, 5
+#: So many members of a crowded band are compared with all of its members before the rest is paired.
 PIVOTS = 4
-#: So many keys two similar sets share, or all elements that they have in common if these are fewer.
-SHARED = 4
+
+_ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles_of(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; words are those of SimHash."""
+def shingles_of(text: bytes | None, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of a text's shingles, and its fingerprint; words are those of SimHash."""
     words = text.lower().split() if text else []
     if not words:
+        return np.empty(0, dtype="<u8"), 0
+    ones, parts = np.zeros(BITS, dtype=np.int64), []
+    for hashes in shingle_hashes(words, shingle, seed):
+        ones += bits_set(hashes)
+        parts.append(np.unique(hashes))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)), majority(ones, max(1, len(words) - shingle + 1))
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """One key a band, of the minima of ROWS permutations of a set's hashes; none for the empty set."""
+    if not len(hashes):
         return np.empty(0, dtype="<u8")
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))), dtype="<u8"))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[None, at : at + 1024] * _ODD[:, None]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * _MIX
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def prefix_of(hashes: np.ndarray, at_least: Fraction, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, so many that two sets of the similarity have SHARED in common.
+class _Sets:
+    """The distinct texts of ``docs`` (with __row), and the exact similarity of pairs of them."""
 
-    Sets A and B of the similarity t share o elements, o >= t |A| and o >= t |B|. Under any
-    one order of all shingles the k-th of these has o - k others behind it in both sets;
-    so it is among the first |A| - ceil(t |A|) + k of A, and likewise of B.
-    """
-    n = len(hashes)
-    if not n:
-        return hashes
-    known = np.zeros(n, dtype=np.int64)
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        known = np.where(frequent[i] == hashes, counts[i], 0)
-    return hashes[np.lexsort((hashes, known))[: n - -(-n * at_least.numerator // at_least.denominator) + SHARED]]
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, at_least: Fraction, shingle: int, seed: int):
+        self.docs, self.text, self.at_least, self.shingle, self.seed = docs, text, at_least, shingle, seed
 
+        @F.arrow_udf("struct<sid: bigint, size: bigint, fp: bigint, bands: array<bigint>>")
+        def marks(texts: pa.Array) -> pa.Array:
+            ids, sizes, fps, bands = [], [], [], []
+            for t in texts:
+                hashes, fp = shingles_of(t.as_py(), shingle, seed)
+                ids.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), seed)))
+                sizes.append(len(hashes))
+                fps.append(fp)
+                bands.append(bands_of(hashes).view("<i8"))
+            return pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["sid", "size", "fp", "bands"])
 
-def _frequent(docs: DataFrame, text: str, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample share, and in how many; they come last in the order of keys.
+        found = docs.select("__row", F.col(doc_id).alias("doc_id"), marks(F.col(text).cast("binary")).alias("m"))
+        self.marked = cut(found.select("__row", "doc_id", "m.*"))
+        self.sets = cut(self.marked.groupBy("sid").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
-    Any order gives the same links, so the sample decides on speed alone.
-    """
-    texts = docs.select(F.col(text).cast("binary").alias("t"))
-    rate = min(1.0, SAMPLE / max(1, docs.count()))
-    mark = F.xxhash64("t")
-    texts = texts.where(F.pmod(mark, F.lit(1_000_000)) < int(rate * 1_000_000) + 1).withColumn("m", mark).dropDuplicates(["m"]).select("t")
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The (x, y) of ``pairs`` whose exact similarity is large enough. A set moves once for all pairs with x on its right."""
+        at_least, shingle, seed = self.at_least, self.shingle, self.seed
+        needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(self.sets.select("sid", "__row"), "sid")
 
-    def each(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py(), shingle, seed).view("<i8"))], names=["s"])
+        @F.arrow_udf("binary")
+        def hashed(texts: pa.Array) -> pa.Array:
+            return pa.array([shingles_of(t.as_py(), shingle, seed)[0].tobytes() for t in texts], pa.binary())
 
-    top = texts.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
-    keys, n = top["s"].to_numpy(dtype="<i8").view("<u8"), top["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+        @F.arrow_udf("boolean")
+        def close(a: pa.Array, b: pa.Array) -> pa.Array:
+            out = []
+            for p, q in zip(a, b, strict=True):
+                p, q = np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(both * at_least.denominator >= (len(p) + len(q) - both) * at_least.numerator)
+            return pa.array(out, pa.bool_())
 
+        texts = self.docs.select("__row", F.col(self.text).cast("binary").alias("t")).join(few(needed), "__row").dropDuplicates(["sid"])
+        known = cut(texts.select("sid", hashed("t").alias("s")))
+        joined = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
+        return cut(joined.where(close("a", "b")).select("x", "y"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, at_least: Fraction, shingle: int, seed: int) -> DataFrame:
-    """The pairs (x, y) of set ids whose exact similarity is large enough."""
-    needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "row"), "sid")
+    def fitting(self, a: str, b: str) -> str:
+        """A condition that sizes of sets similar enough meet."""
+        return f"least({a}, {b}) * {self.at_least.denominator} >= greatest({a}, {b}) * {self.at_least.numerator}"
 
-    @F.arrow_udf("binary")
-    def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles_of(t.as_py(), shingle, seed).tobytes() for t in texts], pa.binary())
 
-    @F.arrow_udf("boolean")
-    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(a, b, strict=True):
-            p, q = np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both * at_least.denominator >= (len(p) + len(q) - both) * at_least.numerator)
-        return pa.array(out, pa.bool_())
-
-    texts = docs.select("row", F.col(text).cast("binary").alias("t")).join(needed, "row").dropDuplicates(["sid"])
-    known = cut(texts.select("sid", hashed("t").alias("s")))
-    joined = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
-    return cut(joined.where(similar("a", "b")).select("x", "y"))
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42, dense: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a column ``row`` that names a row by its content, and (row, doc_id, label) by component.
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, dense: int = 64) -> DataFrame:
+    """(__row, doc_id, label) by component, for ``docs`` with the __row of named_rows.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity``
-    at least; texts of the same set, those without words too, are one node. Sets that
-    share a key of their prefixes are compared exactly, which misses none. Under a key
-    that more than ``dense`` sets share, all are first compared with a few of them, and
-    then every two that are not connected yet; so a large group of near copies is not
-    paired, and the components are those of all pairs.
+    at least; texts of the same set, those without words too, are one node. First SimHash
+    components of ``distance`` bits are verified: a set as similar to the least of its
+    component gets that one's label, which settles large groups in proportion to their
+    size. Then sets of different labels that share a band are compared. Under a band that
+    more than ``dense`` sets share, all are first compared with a few of them, and then
+    every two that are not connected yet.
     """
-    at_least = Fraction(str(similarity))
-    docs = docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    frequent, counts = _frequent(docs, text, shingle, seed)
-    told = docs.sparkSession.sparkContext.broadcast((frequent, counts))
-
-    @F.arrow_udf("struct<sid: bigint, size: bigint, prefix: array<bigint>>")
-    def marks(texts: pa.Array) -> pa.Array:
-        ids, sizes, prefixes = [], [], []
-        for t in texts:
-            hashes = shingles_of(t.as_py(), shingle, seed)
-            ids.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), seed)))
-            sizes.append(len(hashes))
-            prefixes.append(prefix_of(hashes, at_least, *told.value).view("<i8"))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["sid", "size", "prefix"])
-
-    marked = cut(docs.select("row", F.col(doc_id).alias("doc_id"), marks(F.col(text).cast("binary")).alias("m")).select("row", "doc_id", "m.sid", "m.size", "m.prefix"))
-    sets = marked.groupBy("sid").agg(F.min("row").alias("row"), F.first("size").alias("size"))
-    keys = marked.select("sid", F.explode("prefix").alias("key"))
-    # n counts copies too; a key of copies alone has x = y
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y"))
-    some = keys.join(shared.where("n > 2").select("key"), "key").distinct()
-    some = cut(some.join(some.groupBy("key").agg(F.count("*").alias("n")), "key"))
-    few, crowded = some.where(f"n <= {dense}"), some.where(f"n > {dense}")
-    pairs = shared.where("n = 2").select("x", "y")
-    pairs = pairs.union(few.select("key", F.col("sid").alias("x")).join(few.select("key", F.col("sid").alias("y")), "key").where("x < y").select("x", "y"))
-    # two that share a crowded key are met there, so others have all of their common keys here
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
-    sizes = sets.select("sid", "size")
-    pairs = pairs.join(sizes.toDF("x", "a"), "x").join(sizes.toDF("y", "b"), "y")
-    over, under = at_least.numerator, at_least.denominator
-    pairs = pairs.where(f"least(a, b) * {under} >= greatest(a, b) * {over} AND (n >= {SHARED} OR n * {under} >= greatest(a, b) * {over})").select("x", "y")
+    sets = _Sets(docs, doc_id, text, Fraction(str(similarity)), shingle, seed)
+    # 1: SimHash
+    near = components(links(sets.sets, distance), "x", "y").withColumnRenamed("node", "fp")
+    grouped = sets.sets.select("sid", "size", "fp").join(near, "fp", "left").select("sid", "size", F.coalesce("label", "fp").alias("g"))
+    grouped = cut(grouped)
+    heads = cut(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"))
+    spokes = grouped.join(heads.select("g", F.col("h.sid").alias("x"), F.col("h.size").alias("m")), "g").where(f"sid != x AND {sets.fitting('size', 'm')}")
+    linked = sets.similar(cut(spokes.select("x", F.col("sid").alias("y"))))
+    # 2: bands of sets that are not connected yet
+    label = F.coalesce("x", "sid").alias("label")
+    labelled = cut(sets.sets.join(linked.withColumnRenamed("y", "sid"), "sid", "left").select("sid", "size", label, "bands"))
+    keys = labelled.select("sid", "size", "label", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "n")
+    some = cut(keys.join(cut(shared), "key"))
+    crowded = cut(some.where(f"n > {dense}"))
+    pairs = _across(some.where(f"n <= {dense}"), sets)
     if not crowded.isEmpty():
-        pivots = crowded.groupBy("key").agg(*[F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = pivots.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
-        star = crowded.join(pivots, "key").where("sid != p").select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y"))
-        pairs = pairs.union(star)
-    linked = _verified(cut(pairs.distinct()), sets, docs, text, at_least, shingle, seed)
+        pivots = cut(crowded.groupBy("key").agg(*[F.min_by(F.struct("sid", "size", "label"), F.xxhash64("sid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]))
+        each = [pivots.select("key", F.col(f"p{i}.sid").alias("p"), F.col(f"p{i}.size").alias("m"), F.col(f"p{i}.label").alias("c")) for i in range(PIVOTS)]
+        pivots = cut(reduce(DataFrame.union, each).distinct())
+        star = crowded.join(pivots, "key").where(f"sid != p AND label != c AND {sets.fitting('size', 'm')}")
+        pairs = pairs.union(cut(star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct()))
+    linked = cut(linked.union(sets.similar(cut(pairs.distinct()))))
     found = components(linked, "x", "y")
     if not crowded.isEmpty():
-        named = crowded.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-        parted = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        named = cut(named.join(parted, "key", "left_semi"))
-        named = named.join(sizes, "sid").select("key", "sid", "label", "size")
-        rest = named.toDF("key", "x", "a", "m").join(named.toDF("key", "y", "b", "n"), "key").where(f"x < y AND a != b AND least(m, n) * {under} >= greatest(m, n) * {over}")
-        rest = cut(rest.select("x", "y").distinct())
+        named = crowded.drop("label").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        named = cut(named)
+        parted = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+        rest = cut(_across(named.join(parted, "key", "left_semi"), sets).distinct())
         if not rest.isEmpty():
-            linked = linked.union(_verified(rest, sets, docs, text, at_least, shingle, seed))
+            linked = cut(linked.union(sets.similar(rest)))
             found = components(linked, "x", "y")
-    labelled = marked.select("row", "doc_id", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left")
-    return docs, labelled.select("row", "doc_id", F.coalesce("label", "sid").alias("label"))
+    done = sets.marked.select("__row", "doc_id", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left")
+    return done.select("__row", "doc_id", F.coalesce("label", "sid").alias("label"))
+
+
+def _across(members: DataFrame, sets: _Sets) -> DataFrame:
+    """Pairs (x, y), x < y, of sets of fitting sizes that share a key but not the label."""
+    one, two = (members.select("key", F.col("sid").alias(x), F.col("size").alias(n), F.col("label").alias(c)) for x, n, c in (("x", "m", "a"), ("y", "n", "b")))
+    return one.join(two, "key").where(f"x < y AND a != b AND {sets.fitting('m', 'n')}").select("x", "y")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -162,7 +168,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     A null doc_id comes after all others; of rows with the same one the smallest by the
     hash of its content stays, and of rows that are equal throughout any one.
     """
-    marked, labelled = near_copies(docs, doc_id, text, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("k")
-    kept = labelled.groupBy("label").agg(first).select(F.col("k.row").alias("row"))
-    return marked.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
+    named = named_rows(docs)
+    return first_of_each(named, near_copies(named, doc_id, text, **options))

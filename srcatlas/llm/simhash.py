@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -11,28 +12,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import components, cut
+from srcatlas.llm.common import components, cut, first_of_each, named_rows
 
 BITS = 64
 #: So many shingles are hashed at once, whatever the length of the text.
 CHUNK = 1 << 15
 
 
-def fingerprint_of(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint, as a signed 64-bit integer, of one UTF-8 text."""
-    words = text.lower().split() if text else []  # on bytes both know ASCII only
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, repeats included, in chunks; fewer words than a shingle are one."""
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, n, CHUNK):
-        part = words[at : min(at + CHUNK, n) + shingle - 1]
-        hashes = np.fromiter((digest(join(part[i : i + shingle]), seed) for i in range(max(1, len(part) - shingle + 1))), dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, n if words else 0, CHUNK):
+        yield np.fromiter((digest(join(words[i : i + shingle]), seed) for i in range(at, min(at + CHUNK, n))), dtype="<u8")
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """By bit how many of the hashes have it."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint, as a signed 64-bit integer, of ``n`` hashes with these bits."""
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one UTF-8 text."""
+    words = text.lower().split() if text else []  # on bytes both know ASCII only
+    ones = np.zeros(BITS, dtype=np.int64)
+    for hashes in shingle_hashes(words, shingle, seed):
+        ones += bits_set(hashes)
+    return majority(ones, max(1, len(words) - shingle + 1)) if words else 0
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
     """``docs`` with a column of signed 64-bit SimHash fingerprints.
 
@@ -50,13 +63,19 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: in
     return docs.withColumn(name, udf(F.col(text).cast("binary")))
 
 
-def blocks_for(distance: int, blocks: int | None = None) -> list[tuple[tuple[int, int], ...]]:
+def blocks_for(distance: int, blocks: int | None = None, rows: int = 0) -> list[tuple[tuple[int, int], ...]]:
     """The (shift, width) lists whose bits make the keys of each block choice.
 
     ``distance`` differing bits touch at most so many of ``blocks`` blocks, so two close
-    fingerprints agree on all of the others, for one choice at least.
+    fingerprints agree on all of the others, for one choice at least. More blocks make
+    longer keys and more choices. Where their number isn't given it is the least at which
+    a key has three bits more than it takes to number the ``rows`` fingerprints, so that
+    few share a key by chance however many they are.
     """
-    blocks = blocks or distance + 3
+    if blocks is None:
+        blocks = distance + 2
+        while blocks < 2 * distance + 4 and BITS * (blocks - distance) // blocks < max(rows, 1).bit_length() + 3:
+            blocks += 1
     if blocks <= distance:
         raise ValueError("more blocks than differing bits are needed")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -90,8 +109,8 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: i
     the least of them. That is linear in the size of the group too, and links the same
     components as all pairs would.
     """
-    choices = blocks_for(distance, blocks)
     fps = cut(fps.select("fp").distinct())
+    choices = blocks_for(distance, blocks, fps.count())
     keys = _keys(fps, choices)
     counts = cut(keys.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1"))
     twos = counts.where("n = 2").select("x", "y").where(_close(distance))
@@ -99,7 +118,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: i
     some = cut(some)
     left, right = some.withColumnRenamed("fp", "x"), some.withColumnRenamed("fp", "y")
     pairs = left.join(right, (left.choice == right.choice) & (left.key == right.key) & (F.col("x") < F.col("y")) & _close(distance)).select("x", "y")
-    crowded = keys.join(counts.where(f"n > {dense}").select("choice", "key"), ["choice", "key"]).select("fp").distinct()
+    crowded = cut(keys.join(counts.where(f"n > {dense}").select("choice", "key"), ["choice", "key"]).select("fp").distinct())
     return twos.union(pairs).union(_by_midpoint(crowded, distance)).distinct()
 
 
@@ -118,6 +137,8 @@ def _by_midpoint(fps: DataFrame, distance: int) -> DataFrame:
             flips.append(value)
     assert len(flips) == sum(comb(BITS, i) for i in range(radius + 1))
     listed = ", ".join(f"{f}L" if f != -(1 << 63) else "(-9223372036854775807L - 1L)" for f in flips)
+    # every task is to make about a million points
+    fps = fps.repartition(max(1, fps.count() * len(flips) >> 20), "fp")
     points = fps.select("fp", F.explode(F.expr(f"array({listed})")).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     # at most len(flips) fingerprints are so near one point, however large the group
     least = points.select("fp", F.min("fp").over(Window.partitionBy("point")).alias("least"))
@@ -141,18 +162,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links(fps, distance, blocks, dense), "x", "y")
     label = F.coalesce("label", "fp")
     labelled = cut(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label.alias("label"), "least", "n"))
-    groups = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    ids = labelled.select("fp", "label").join(groups, "label").select("fp", "component_id", "component_size")
+    # stored, so that the join's sides are plain shuffles and a label of very many fingerprints can be split
+    groups = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")))
+    ids = cut(labelled.select("fp", "label").join(groups, "label").select("fp", "component_id", "component_size"))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id", "component_size")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None, dense: int = 24) -> DataFrame:
     """``docs`` without the near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of repeated rows with that doc_id one stays. Documents whose doc_id is null stay all,
-    as nothing tells which of them to keep.
+    A null doc_id comes after all others; of rows with the same one the smallest by the
+    hash of its content stays, and of rows that are equal throughout any one. Texts that
+    are no near-duplicates all stay, whatever their ids.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return known.unionByName(docs.where(F.col(doc_id).isNull()))
+    named = named_rows(docs)
+    marked = cut(fingerprints(named.select("__row", F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", shingle, seed).select("__row", "doc_id", "fp"))
+    found = components(links(marked, distance, blocks, dense), "x", "y")
+    labelled = marked.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return first_of_each(named, labelled.select("__row", "doc_id", F.coalesce("label", "fp").alias("label")))

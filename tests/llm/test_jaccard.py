@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from srcatlas.llm import jaccard
@@ -62,3 +63,28 @@ def test_one_row_of_each_component_whatever_its_id(spark):
     docs = spark.createDataFrame([(1, a), (None, a), (None, b), (None, b), (1, c), (1, a)], "doc_id long, text string")
     got = sorted((str(x.doc_id), x.text) for x in jaccard.keep_one(docs).collect())
     assert got == [("1", a), ("1", c), ("None", b)]
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Of pairs that are similar by just 0.8 all but a few in a million share a band; by 0.4 hardly any do."""
+    r = np.random.default_rng(1)
+    met = {0.8: 0, 0.4: 0}
+    for s in met:
+        for _ in range(300):
+            x = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+            both = round(600 * s)
+            a, b = np.concatenate([x[:both], x[both : both + (600 - both) // 2]]), np.concatenate([x[:both], x[both + (600 - both) // 2 : 600]])
+            assert abs(len(np.intersect1d(a, b)) / len(np.union1d(a, b)) - s) < 1e-9
+            met[s] += bool((jaccard.bands_of(a) == jaccard.bands_of(b)).any())
+    assert met[0.8] == 300 and met[0.4] < 150
+
+
+def test_simhash_cannot_reach_the_threshold():
+    """Why bands are needed: fingerprints of pairs similar by 0.8 differ in about 10 bits, hardly ever in 4 or fewer."""
+    r = np.random.default_rng(2)
+    bits = []
+    for _ in range(200):
+        x = r.integers(0, 1 << 63, 600, dtype=np.uint64)
+        a, b = (jaccard.majority(jaccard.bits_set(s), len(s)) for s in (x[:540], x[60:]))
+        bits.append(((a ^ b) & (1 << 64) - 1).bit_count())
+    assert 8 < np.mean(bits) < 12 and np.mean(np.array(bits) <= 4) < 0.1

@@ -67,7 +67,7 @@ def test_components(spark, dense):
     want = brute_components([d for d, *_ in rows], fps)
     assert sorted((str(a.doc_id), a.fp, str(a.component_id)) for a in got) == sorted((str(d), f, str(c)) for (d, *_), f, c in zip(rows, fps, want, strict=True))
     kept = simhash.keep_one(docs, dense=dense).collect()
-    assert sorted(str(k.doc_id) for k in kept) == sorted({str(c) for c in want} | {"None"})
+    assert sorted(str(k.doc_id) for k in kept) == sorted({str(c) for c in want})
     assert simhash.near_duplicates(docs.where("false")).collect() == []
 
 
@@ -91,9 +91,22 @@ def test_components_of_paths(spark):
 
 
 def test_blocks():
-    for distance, blocks in ((4, None), (3, 6)):
+    for distance, blocks in ((4, None), (3, 6), (4, 9)):
         choices = simhash.blocks_for(distance, blocks)
         r = np.random.default_rng(0)
         for _ in range(200):
             bits = set(r.choice(64, distance, replace=False))
             assert any(all(not bits & set(range(s, s + w)) for s, w in c) for c in choices)
+
+
+def test_keys_grow_with_the_rows():
+    widths = [sum(w for _, w in simhash.blocks_for(4, rows=n)[0]) for n in (0, 10**5, 10**7, 10**9, 5 * 10**10)]
+    assert widths == sorted(widths) and all(w >= min(38, n.bit_length() + 2) for w, n in zip(widths, (0, 10**5, 10**7, 10**9, 5 * 10**10), strict=True))
+
+
+def test_keep_one_loses_no_text(spark):
+    """Other texts of the same id stay, columns of inner names too."""
+    rows = [(1, "alpha beta gamma delta eps", 5), (1, "quite other words stand here now", 6), (2, "alpha beta gamma delta eps", 7), (None, "third text with its own words", 8), (None, "third text with its own words", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept int")
+    got = sorted((str(x.doc_id), x["__kept"]) for x in simhash.keep_one(docs).collect())
+    assert got == [("1", 5), ("1", 6), ("None", 8)]
