@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -85,32 +87,31 @@ _FOR = {"email": re.compile(r"mail|contact|write|reach", re.I), "ip": re.compile
 _AGAINST = re.compile(r"order|invoice|version|isbn|\bid\b|date|page|\bno\b|ref|sku|serial|score|ticket|tracking|build|section|figure|year", re.I)
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Overlapping spans that might be personal data, with the kind each might be: high recall, low precision.
 
     Of a run of digits, however long, all consecutive groups of 7 to 19 digits are
     proposed, so that each number of a list or table row is; that is linear in the run.
     """
-    out = []
     if _VEIL.search(text):
-        out += [("email", *m.span()) for m in _VEILED.finditer(text)]
+        yield from (("email", *m.span()) for m in _VEILED.finditer(text))
     for run in _RUN.finditer(text):
         groups = [m.span() for m in _GROUPS.finditer(text, *run.span())]
         for i, (a, _) in enumerate(groups):
             while a > run.start() and text[a - 1] in "+(":
                 a -= 1
             n = 0
-            for lo, b in groups[i:]:
+            for j in range(i, len(groups)):
+                lo, b = groups[j]
                 n += b - lo
                 if n > 19:
                     break  # longer than any number of these kinds
                 if 7 <= n <= 15:
-                    out.append(("phone", a, b))
+                    yield "phone", a, b
                 if 12 <= n <= 19:
-                    out.append(("card", a, b))
+                    yield "card", a, b
                 if 4 <= n <= 12 and text.count(".", a, b) == 3:
-                    out.append(("ip", a, b))
-    return out
+                    yield "ip", a, b
 
 
 def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
@@ -197,29 +198,51 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         if not label and r.random() < 0.15:
             head = head.rstrip() + r.choice("#$-_")
         out.append((head + body + tail, kind, len(head), len(head) + len(body), label))
-    for _ in range(n // 8):  # numbers side by side, as in lists and rows: right are those, wrong all other groups of digits
+    for _ in range(n // 6):  # numbers side by side, as in lists and rows: right are those, wrong all other groups of digits
         kind = r.choice(["phone", "phone", "card"])
         style = r.randrange(10**9)
-        bodies, text, right = [], f"{word()} {r.choice([*cues[kind], word()])}{r.choice(['', ':'])} ", set()
-        for _ in range(r.randint(1, 4)):
-            if kind == "card":
+        text, right = f"{word()} {r.choice([*cues[kind], word(), word()])}{r.choice(['', ':', '.'])} ", set()
+        for k in range(r.randint(1, 4)):
+            # mostly of one kind and style, as in lists; else as it comes, as in records
+            own = kind if r.random() < 0.6 else r.choice(["phone", "ip", "card"])
+            if own == "card":
                 x = number(True)
-                bodies.append(x if style % 3 == 0 else fours(x))
+                body = x if style % 3 == 0 else fours(x)
+            elif own == "ip":
+                body = good["ip"]()
             else:
-                bodies.append([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)} {d(4)}"][style % 4])
-        for body in bodies:
-            right.add((kind, len(text), len(text) + len(body)))
-            text += body + r.choice([" ", " ", " / ", "  "])
+                body = [f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{r.randint(1, 99)} {d(3)} {d(4)} {d(3)}"][style % 6]
+            right.add((own, len(text), len(text) + len(body)))
+            text += body + r.choice([" ", " ", " / ", "  ", ", "])
         text += r.choice([f"{d(2)}/{d(2)}", d(3)]) if kind == "card" and r.random() < 0.5 else word()
-        found = candidates(text)
+        found = list(candidates(text))
         wrong = [c for c in found if c not in right]
         out += [(text, *c, 1) for c in found if c in right] + [(text, *c, 0) for c in r.sample(wrong, min(len(wrong), 6))]
     return out
 
 
+def calibrated(score: np.ndarray, label: np.ndarray, precision: float, prior: float) -> float:
+    """The threshold at which held-out scores promise ``precision``, if a share ``prior`` of all candidates is right.
+
+    False alarms are counted with half of one to spare, so that few examples promise
+    little. Of the thresholds that reach the precision the lowest is taken, halfway (in
+    log-odds) down to the next score below; where none does, the one that comes nearest.
+    """
+    order = np.argsort(-score, kind="stable")
+    s, y = score[order], label[order]
+    hit, wrong = np.cumsum(y) / max(1, y.sum()), (np.cumsum(1 - y) + 0.5) / (len(y) - y.sum() + 1)
+    promised = prior * hit / (prior * hit + (1 - prior) * wrong)
+    ends = np.concatenate([s[1:] != s[:-1], [True]])  # equal scores go together
+    good = np.nonzero(ends & (promised >= precision))[0]
+    at = int(good[-1]) if len(good) else int(np.where(ends, promised, -1).argmax())
+    logit = lambda p: float(np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9))))
+    below = logit(s[at + 1]) if at + 1 < len(s) else logit(s[at])
+    return float(1 / (1 + np.exp(-(logit(s[at]) + below) / 2)))
+
+
 @lru_cache(maxsize=1)
-def model(examples: int = 6000, precision: float = 0.99, seed: int = 7) -> tuple[BoostedTrees, dict[str, float]]:
-    """The trees and, for each kind, the lowest score whose held-out precision reaches ``precision``.
+def model(examples: int = 12_000, precision: float = 0.95, prior: float = 0.1, seed: int = 7) -> tuple[BoostedTrees, dict[str, float]]:
+    """The trees and each kind's threshold (see calibrated).
 
     They are trained here, on ``examples`` generated examples, of which every third is
     held out to calibrate. The same call gives the same model on every machine.
@@ -231,38 +254,69 @@ def model(examples: int = 6000, precision: float = 0.99, seed: int = 7) -> tuple
     held = np.arange(len(rows)) // 8 % 3 == 0
     trees = BoostedTrees().fit(x[~held], y[~held])
     score = trees.predict(x)
-    limits = {}
-    for kind in KINDS:
-        mine = held & (kinds == kind)
-        order = np.argsort(-score[mine], kind="stable")
-        s, hit = score[mine][order], y[mine][order]
-        good = np.nonzero(np.cumsum(hit) / np.arange(1, len(hit) + 1) >= precision)[0]
-        limits[kind] = float(max(s[good[-1]], 0.9)) if len(good) else 2.0
-    return trees, limits
+    return trees, {kind: calibrated(score[held & (kinds == kind)], y[held & (kinds == kind)], precision, prior) for kind in KINDS}
+
+
+class _Taken:
+    """Disjoint spans in order, to look up whether another one overlaps any."""
+
+    def __init__(self, spans: list[Span]):
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        for lo, hi in sorted(spans):
+            if self.hi and lo < self.hi[-1]:
+                self.hi[-1] = max(self.hi[-1], hi)
+            else:
+                self.lo.append(lo)
+                self.hi.append(hi)
+
+    def free(self, lo: int, hi: int) -> bool:
+        i = bisect_left(self.lo, hi)
+        return i == 0 or self.hi[i - 1] <= lo
+
+    def add(self, lo: int, hi: int) -> None:
+        i = bisect_left(self.lo, lo)
+        self.lo.insert(i, lo)
+        self.hi.insert(i, hi)
+
+
+#: So many candidates are scored together.
+SCORED = 20_000
 
 
 def all_spans(texts: list[str], trees: BoostedTrees, limits: dict[str, float]) -> list[tuple[dict, dict]]:
-    """For each text the base spans and the spans the trees add, which overlap no other of their text."""
-    bases, asked, rows = [], [], []
+    """For each text the base spans and the spans the trees add, which overlap no other of their text.
+
+    Of overlapping candidates above their kind's threshold the one of the best score
+    stays, of equals the first. Candidates are scored in parts, and only those above the
+    threshold are held.
+    """
+    bases, taken = [], []
+    fit: list[tuple[float, tuple[int, str, int, int]]] = []
+    asked: list[tuple[int, str, int, int]] = []
+
+    def decide() -> None:
+        if asked:
+            score = trees.predict(np.array([features(texts[i], kind, lo, hi) for i, kind, lo, hi in asked], dtype=float))
+            fit.extend((-p, c) for p, c in zip(score.tolist(), asked, strict=True) if p >= limits[c[1]])
+            asked.clear()
+
     for i, text in enumerate(texts):
-        if _DIGIT.search(text) is None and "@" not in text and _VEIL.search(text) is None:
-            bases.append({kind: [] for kind in KINDS})
-            continue
-        bases.append(base := base_spans(text))
-        taken = [s for spans in base.values() for s in spans]
-        for kind, lo, hi in candidates(text):
-            if all(hi <= a or b <= lo for a, b in taken):
+        bare = _DIGIT.search(text) is None and "@" not in text and _VEIL.search(text) is None
+        base = {kind: [] for kind in KINDS} if bare else base_spans(text)
+        bases.append(base)
+        taken.append(_Taken([s for spans in base.values() for s in spans]))
+        for kind, lo, hi in () if bare else candidates(text):
+            if taken[i].free(lo, hi):
                 asked.append((i, kind, lo, hi))
-                rows.append(features(text, kind, lo, hi))
+                if len(asked) == SCORED:
+                    decide()
+    decide()
     added: list[dict] = [{kind: [] for kind in KINDS} for _ in texts]
-    if rows:
-        score = trees.predict(np.array(rows, dtype=float))
-        chosen: dict[int, list[Span]] = {}
-        for j in sorted(range(len(rows)), key=lambda j: (-score[j], asked[j])):
-            i, kind, lo, hi = asked[j]
-            if score[j] >= limits[kind] and all(hi <= a or b <= lo for a, b in chosen.setdefault(i, [])):
-                chosen[i].append((lo, hi))
-                added[i][kind].append((lo, hi))
+    for _, (i, kind, lo, hi) in sorted(fit):
+        if taken[i].free(lo, hi):
+            taken[i].add(lo, hi)
+            added[i][kind].append((lo, hi))
     return list(zip(bases, added, strict=True))
 
 
@@ -272,7 +326,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), (
 GROUP = 256
 
 
-def find(docs: DataFrame, text: str = "text", name: str = "pii", examples: int = 6000, precision: float = 0.99) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", name: str = "pii", **options) -> DataFrame:
     """``docs`` with an array of spans (kind, start, end, base), in order of kind, then start.
 
     Offsets count code points, ends are exclusive. Spans of the strict patterns are all
@@ -280,7 +334,7 @@ def find(docs: DataFrame, text: str = "text", name: str = "pii", examples: int =
     are added where they overlap no other. Null and empty texts have no spans. The
     model is a few KB and independent of the documents; each row is judged alone.
     """
-    trees, limits = model(examples, precision)
+    trees, limits = model(**options)
 
     @F.arrow_udf(SPANS)
     def udf(texts: pa.Array) -> pa.Array:
