@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from srcatlas.llm.common import LOWER, UPPER, ascii_lower, cut
+from srcatlas.llm.common import LOWER, UPPER, ascii_lower, cut, few
 
 #: What characters the models tell apart: letters, any digit (0), these marks, any other (*); and ^ before, $ behind.
 MARKS = "-._/?=&#%~+:@"
@@ -102,16 +102,18 @@ def train(pages: DataFrame, url: str = "url", label: str = "label", order: int =
 def score(pages: DataFrame, model: Model, url: str = "url", name: str = "score") -> DataFrame:
     """``pages`` with the log-likelihood difference of both models for each symbol of the url, in nats.
 
-    Grams of a url find their ratio by a join with the bounded table of all grams; sums
-    per row are added up before anything moves.
+    Distinct texts alone are scored: their grams find their ratios by a join with the
+    table of all grams, and sums by text are added up before anything moves. Rows then
+    join their text's score, whatever other columns they have; a text of very many rows
+    can be split there, as both sides are plain shuffles.
     """
-    rows = pages.withColumn("__row", F.monotonically_increasing_id()).withColumn("__symbols", symbols(F.col(url), model.order))
-    bound = SYMBOLS ** (model.order + 1)
-    table = F.broadcast(model.grams) if bound <= 4_000_000 else model.grams
-    keys = ["__row", *pages.columns]
-    found = _grams(rows, model.order).join(table, "gram", "left")
+    key = "__url_symbols"
+    marked = pages.withColumn(key, symbols(F.col(url), model.order))
+    texts = marked.select(F.col(key).alias("__symbols")).distinct()
+    found = _grams(texts, model.order).join(few(model.grams), "gram", "left")
     mean = F.sum(F.coalesce("ratio", F.lit(0))) / F.count("*") / UNIT
-    return found.groupBy(*keys).agg(mean.alias(name)).drop("__row")
+    scores = cut(found.groupBy("__symbols").agg(mean.alias("__url_score")))
+    return marked.join(scores.withColumnRenamed("__symbols", key), key).withColumn(name, F.col("__url_score")).drop(key, "__url_score")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", **options) -> DataFrame:
@@ -120,13 +122,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     A rule's action is the verdict where one fits; rule-labelled urls train the two
     models, whose length-normalised ratio against the threshold decides all others.
     Null urls and those without :// have empty host and path, and are judged by the
-    method as the empty text. Columns of the results' names are replaced. Every row gets a verdict; repeated rows stay.
+    method as the empty text. Columns of the results' names are replaced, others pass through
+    (names that begin with __url_ are taken). Every row gets a verdict; repeated rows stay.
     """
     pages = pages.drop("host", "path", "rule", "score", "verdict")
     host, path = host_path(F.col(url))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    marked = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("__action", action)
-    model = train(marked.select(F.col(url).alias("url"), F.col("__action").alias("label")), **options)
+    marked = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("__url_action", action)
+    model = train(marked.select(F.col(url).alias("url"), F.col("__url_action").alias("label")), **options)
     judged = score(marked, model, url)
     learned = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
-    return judged.withColumn("verdict", F.coalesce("__action", learned)).drop("__action")
+    return judged.withColumn("verdict", F.coalesce("__url_action", learned)).drop("__url_action")

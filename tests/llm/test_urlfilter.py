@@ -73,3 +73,20 @@ def test_judge(spark):
     assert all(by[i].verdict == "allow" for i in range(60)) and all(by[i].verdict == "block" for i in range(100, 160))
     assert by[202].verdict in ("allow", "block") and by[202].host == ""
     assert u.judge(pages.where("false"), URL_RULES).count() == 0
+
+
+def test_names_that_clash(spark):
+    """Columns with inner names neither multiply rows nor clash."""
+    names = ["gram", "ratio", "label", "key", "bin", "a", "b", "__symbols", "__row", "context", "score", "rule"]
+    docs = spark.createDataFrame([(i, f"http://x{i % 3}.org/{i}", *["c"] * len(names)) for i in range(20)] * 2, ", ".join(["page_id long", "url string", *(f"{n} string" for n in names)]))
+    got = u.judge(docs, URL_RULES)
+    assert got.count() == 40 and set(names) <= set(got.columns)
+
+
+def test_threshold_parts_the_held_out_fold(spark):
+    """The threshold lies between the scores of both classes where they can be parted."""
+    rows = [(f"http://good{i % 4}.org/a/{i}", "allow") for i in range(80)] + [(f"https://spam-{i % 3}.biz/x?{i}", "block") for i in range(80)]
+    pages = spark.createDataFrame(rows, "url string, label string")
+    model = u.train(pages)
+    held = u.score(pages, model).where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()
+    assert max(r.score for r in held if r.label == "block") < model.threshold < min(r.score for r in held if r.label == "allow")
