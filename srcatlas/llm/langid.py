@@ -89,11 +89,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     return Model(langs, (counts / counts.sum(axis=1, keepdims=True)).astype(np.float64))
 
 
-def mixture(model: Model, counts: np.ndarray, rounds: int = 30, penalty: float = 3.0, most: int = 3) -> tuple[list[int], np.ndarray, np.ndarray]:
+def mixture(model: Model, counts: np.ndarray, rounds: int = 30, penalty: float = 3.0, least_share: float = 0.02) -> tuple[list[int], np.ndarray, np.ndarray]:
     """The language set of one document, the proportions within it, and those over all languages.
 
-    Expectation-maximisation over all languages orders them; then sets of the 1 to
-    ``most`` largest are compared by log-likelihood less ``penalty`` x size x log(grams).
+    Expectation-maximisation over all languages orders them; then the sets of the 1, 2,
+    ... largest are compared by log-likelihood less ``penalty`` x size x log(grams), as
+    far as languages hold ``least_share`` of the document.
     """
     at = np.nonzero(counts)[0]
     n, p = counts[at].astype(np.float64), model.p[:, at]
@@ -113,13 +114,11 @@ def mixture(model: Model, counts: np.ndarray, rounds: int = 30, penalty: float =
     overall, _ = em(np.arange(len(model.langs)))
     order = np.argsort(-overall, kind="stable")
     cost, best = penalty * log(n.sum() + 1), None
-    for size in range(1, min(most, len(order)) + 1):
+    for size in range(1, max(1, int((overall >= least_share).sum())) + 1):
         chosen = np.sort(order[:size])
         share, fit = em(chosen)
         if best is None or fit - size * cost > best[0]:
             best = (fit - size * cost, chosen, share)
-        elif size > 1:
-            break
     return [int(i) for i in best[1]], best[2], overall
 
 

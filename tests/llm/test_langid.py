@@ -1,3 +1,4 @@
+import math
 import os
 
 import numpy as np
@@ -33,6 +34,49 @@ def test_mixture():
     assert langid.mixture(model, counts)[0] == [0]
 
 
+def plain_em(p, counts, chosen, rounds):
+    """Proportions and log-likelihood, gram by gram."""
+    share = [1 / len(chosen)] * len(chosen)
+    for _ in range(rounds):
+        new = [0.0] * len(chosen)
+        for g, n in enumerate(counts):
+            if n:
+                whole = sum(s * p[i][g] for s, i in zip(share, chosen, strict=True))
+                for k, i in enumerate(chosen):
+                    new[k] += n * share[k] * p[i][g] / whole
+        new = [x / sum(counts) for x in new]
+        done = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4
+        share = new
+        if done:
+            break
+    return share, sum(n * math.log(sum(s * p[i][g] for s, i in zip(share, chosen, strict=True))) for g, n in enumerate(counts) if n)
+
+
+def test_mixture_against_plain_em():
+    """Proportions, order and set are those of a plain expectation-maximisation over every prefix of languages."""
+    r = np.random.default_rng(3)
+    sizes = set()
+    for _ in range(40):
+        langs, buckets = int(r.integers(1, 6)), 40
+        p = r.dirichlet(np.full(buckets, 0.3), langs) + 1e-4
+        p /= p.sum(axis=1, keepdims=True)
+        parts = r.dirichlet(np.full(langs, 0.7))
+        counts = r.multinomial(int(r.integers(5, 3000)), parts @ p)
+        chosen, share, overall = langid.mixture(langid.Model([str(i) for i in range(langs)], p), counts)
+        want, _ = plain_em(p, counts, list(range(langs)), 30 if langs > 1 else 0)
+        assert np.allclose(overall, want, atol=1e-9)
+        order = sorted(range(langs), key=lambda i: -want[i])
+        sets = []
+        for size in range(1, max(1, sum(x >= 0.02 for x in want)) + 1):
+            some = sorted(order[:size])
+            s, fit = plain_em(p, counts, some, 30 if size > 1 else 0)
+            sets.append((fit - size * 3.0 * math.log(counts.sum() + 1), -size, some, s))
+        best = max(sets)
+        assert chosen == best[2] and np.allclose(share, best[3], atol=1e-9)
+        sizes.add(len(chosen))
+    assert {1, 2, 3, 4} <= sizes  # texts of four languages get all four
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "der die das und nicht", "de"), (2, "the and of with", "en"), (3, None, "en"), (4, "123", "en"), (5, "the of", None), (None, "und die", "de"), (1, "der die das und nicht", "de")], "doc_id long, text string, lang string")
     model = langid.train(docs)
