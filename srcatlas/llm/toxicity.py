@@ -42,15 +42,64 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def ordinal_loss(xt: np.ndarray, yt: np.ndarray, w: np.ndarray, theta: np.ndarray, ridge: float) -> float:
+    """The penalised negative log-likelihood of P(y > k) = sigmoid(x w - theta_k)."""
+    upper = np.concatenate([np.ones((len(yt), 1)), _sigmoid((xt @ w)[:, None] - theta), np.zeros((len(yt), 1))], axis=1)
+    rows = np.arange(len(yt))
+    return float(-np.log((upper[rows, yt] - upper[rows, yt + 1]).clip(1e-12)).sum() + ridge / 2 * (w @ w))
+
+
+def fit_ordinal(xt: np.ndarray, yt: np.ndarray, top: int, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and ordered thresholds of the least ordinal_loss: Newton's steps on both take turns."""
+    every = np.arange(len(yt))
+    share = np.array([(yt > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
+    theta, w = np.log((1 - share) / share), np.zeros(xt.shape[1])
+
+    def parts(w, theta):
+        """By row: P(y >= its grade), P(y > its grade), and the likelihood."""
+        upper = np.concatenate([np.ones((len(yt), 1)), _sigmoid((xt @ w)[:, None] - theta), np.zeros((len(yt), 1))], axis=1)
+        lo, hi = upper[every, yt], upper[every, yt + 1]
+        return lo, hi, (lo - hi).clip(1e-12)
+
+    loss = lambda w, theta: ordinal_loss(xt, yt, w, theta, ridge)
+    for _ in range(rounds):
+        before = loss(w, theta)
+        lo, hi, p = parts(w, theta)
+        slope = xt.T @ (lo + hi - 1) + ridge * w
+        bend = (xt * (lo * (1 - lo) + hi * (1 - hi))[:, None]).T @ xt + ridge * np.eye(len(w))
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while loss(w - size * step, theta) > before and size > 1e-4:
+            size /= 2
+        w = w - size * step
+        for k in range(top):
+            lo, hi, p = parts(w, theta)
+            below, above = yt == k, yt == k + 1
+            f, g = hi * (1 - hi) / p, lo * (1 - lo) / p
+            slope_k = g[above].sum() - f[below].sum()
+            bend_k = (f * f + f * (1 - 2 * hi))[below].sum() + (g * g - g * (1 - 2 * lo))[above].sum()
+            now, size = loss(w, theta), 1.0
+            while size > 1e-4:
+                moved = theta.copy()
+                moved[k] -= size * slope_k / max(bend_k, 1e-6)
+                if (np.diff(moved) > 0).all() and loss(w, moved) <= now:
+                    theta = moved
+                    break
+                size /= 2
+        if before - loss(w, theta) < 1e-7 * abs(before):
+            break
+    return w, theta
+
+
 def fit(rows: list[set[bytes]], grades: list[int], features: int = 400, least: int = 4, distinct: float = 5.0, ridge: float = 0.1, rounds: int = 40, levels: int = 3) -> Model:
     """The model of largest penalised likelihood: P(y > k) = sigmoid(x w - theta_k), with ``ridge`` x |w|^2 / 2.
 
     Features of at least ``least`` rows are fitted if their rows' mean grade is
     ``distinct`` standard errors from that of all, the ``features`` furthest at most, and
     one of those that stand in the same rows. Newton's steps on the weights and on the
-    thresholds take turns. Labels that are only 0 and 1 become grades first: rows of label
-    1 are parted evenly into ``levels`` grades by how many of their words are marked by a
-    chosen feature of toxic rows. Every third row is left out to choose the limit of the best
+    thresholds take turns (see fit_ordinal). Labels that are only 0 and 1 say nothing on
+    how severe a text is; then severity is by definition ordinal in the number of marked
+    words: rows of label 1 are parted evenly into ``levels`` grades by how many of their
+    words are marked by a chosen feature of toxic rows. Graded labels are taken as they are. Every third row is left out to choose the limit of the best
     F1 (of equals the one nearest to 0.5).
     """
     y = np.array(grades)
@@ -87,43 +136,7 @@ def fit(rows: list[set[bytes]], grades: list[int], features: int = 400, least: i
     for i, f in enumerate(known):
         for w in f & at.keys():
             x[i, at[w]] = 1
-    xt, yt = x[~held], y[~held]
-    every = np.arange(len(yt))
-    share = np.array([(yt > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
-    theta, w = np.log((1 - share) / share), np.zeros(len(at))
-
-    def parts(w, theta):
-        """By row: P(y >= its grade), P(y > its grade), and the likelihood."""
-        upper = np.concatenate([np.ones((len(yt), 1)), _sigmoid((xt @ w)[:, None] - theta), np.zeros((len(yt), 1))], axis=1)
-        lo, hi = upper[every, yt], upper[every, yt + 1]
-        return lo, hi, (lo - hi).clip(1e-12)
-
-    loss = lambda w, theta: -np.log(parts(w, theta)[2]).sum() + ridge / 2 * (w @ w)
-    for _ in range(rounds):
-        before = loss(w, theta)
-        lo, hi, p = parts(w, theta)
-        slope = xt.T @ (lo + hi - 1) + ridge * w
-        bend = (xt * (lo * (1 - lo) + hi * (1 - hi))[:, None]).T @ xt + ridge * np.eye(len(w))
-        step, size = np.linalg.solve(bend, slope), 1.0
-        while loss(w - size * step, theta) > before and size > 1e-4:
-            size /= 2
-        w = w - size * step
-        for k in range(top):
-            lo, hi, p = parts(w, theta)
-            below, above = yt == k, yt == k + 1
-            f, g = hi * (1 - hi) / p, lo * (1 - lo) / p
-            slope_k = g[above].sum() - f[below].sum()
-            bend_k = (f * f + f * (1 - 2 * hi))[below].sum() + (g * g - g * (1 - 2 * lo))[above].sum()
-            now, size = loss(w, theta), 1.0
-            while size > 1e-4:
-                moved = theta.copy()
-                moved[k] -= size * slope_k / max(bend_k, 1e-6)
-                if (np.diff(moved) > 0).all() and loss(w, moved) <= now:
-                    theta = moved
-                    break
-                size /= 2
-        if before - loss(w, theta) < 1e-7 * abs(before):
-            break
+    w, theta = fit_ordinal(x[~held], y[~held], top, ridge, rounds)
     p = _sigmoid(x @ w - theta[0])[held]
     best = (-1.0, 0.5)
     for limit in np.linspace(0.1, 0.9, 17):
