@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
+from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas import languages
+from srcatlas.lineage import cut
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Stored in the shared checkpoint folder, without lineage; a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-"))
-    return df.checkpoint(eager=True)
+#: Edges of a graph, or of a strongly connected part, that one task works on; they are counted first. More are worked on side by side.
+ONE_TASK = 1_000_000
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, prefer_same_file: bool = False) -> DataFrame:
@@ -61,49 +60,246 @@ def neighbourhood(graph: DataFrame, focus, depth: int = 2) -> DataFrame:
     reached = frontier = graph.sparkSession.range(1).select(F.lit(focus).alias("node"))
     for _ in range(depth):
         frontier = both.join(frontier, both.a == frontier.node, "left_semi").select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti")
-        frontier = _cut(frontier)
+        frontier = cut(frontier)
         reached = reached.union(frontier)
-    kept = _cut(reached.distinct())
+    kept = cut(reached.distinct())
     return graph.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def _trimmed(edges: list[tuple]) -> list[tuple]:
+    """The edges left when nodes without predecessors or successors are taken away, again and again."""
+    after: dict = {}
+    before: dict = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        before.setdefault(b, set()).add(a)
+    todo = [n for n in after.keys() | before.keys() if not (after.get(n) and before.get(n))]
+    while todo:
+        n = todo.pop()
+        for m in after.pop(n, ()):
+            before.get(m, set()).discard(n)
+            if not before.get(m) and after.get(m):
+                todo.append(m)
+        for m in before.pop(n, ()):
+            after.get(m, set()).discard(n)
+            if not after.get(m) and before.get(m):
+                todo.append(m)
+    return [(a, b) for a, out in after.items() for b in out]
+
+
+def _components(edges: list[tuple]) -> list[tuple]:
+    """(src, dst, part) of the edges inside strongly connected parts; part is the least node."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    at: dict = {}
+    low: dict = {}
+    part: dict = {}
+    held: list = []
+    for root in after:
+        if root in at:
+            continue
+        stack = [(root, iter(after[root]))]
+        at[root] = low[root] = len(at)
+        held.append(root)
+        while stack:
+            node, rest = stack[-1]
+            for m in rest:
+                if m not in at:
+                    at[m] = low[m] = len(at)
+                    held.append(m)
+                    stack.append((m, iter(after.get(m, ()))))
+                    break
+                if m not in part:
+                    low[node] = min(low[node], at[m])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == at[node]:
+                    own = [held.pop()]
+                    while own[-1] != node:
+                        own.append(held.pop())
+                    least = min(own)
+                    part.update(dict.fromkeys(own, least))
+    return [(a, b, part[a]) for a, b in edges if part[a] == part[b]]
+
+
+def _in_one_task(edges: DataFrame, work, ddl: str) -> DataFrame:
+    """``work`` on the list of all (src, dst): only for edges that were counted."""
+    columns = [c.strip().split(" ")[0] for c in ddl.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [pair for batch in batches for pair in zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True)]
+        yield pd.DataFrame(work(rows), columns=columns)
+
+    return edges.select("src", "dst").repartition(1).mapInPandas(run, ddl)
+
+
 def cyclic_core(graph: DataFrame) -> DataFrame:
-    """Edges that remain when nodes without predecessors or successors are taken away, again and again."""
-    now = _cut(graph.select("src", "dst").distinct())
+    """Edges that remain when nodes without predecessors or successors are taken away, again and again.
+
+    While there are more than ONE_TASK edges, each round takes one layer off on all
+    sides; the rest is done at once. Either way it goes on until nothing more falls away.
+    """
+    now = cut(graph.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     n = now.count()
-    while n:
+    while n > ONE_TASK:
         sources, targets = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
-        now = _cut(now.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst"))
+        now = cut(now.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst"))
         left = now.count()
         if left == n:
-            break
+            return now
         n = left
-    return now
+    kind = now.schema["src"].dataType.simpleString()
+    return cut(_in_one_task(now, _trimmed, f"src {kind}, dst {kind}"))
+
+
+def strong_components(graph: DataFrame) -> DataFrame:
+    """(src, dst, part) of the edges inside strongly connected parts, self-loops included; part is the least node.
+
+    While there are more than ONE_TASK edges, the least node that reaches a node is
+    handed on until nothing changes; what reaches that node again, among those that got
+    the same, is its part. The parts found are taken away, and the rest goes another
+    round. What is left is done at once.
+    """
+    now = cyclic_core(graph)
+    kind = now.schema["src"].dataType.simpleString()
+    found = []
+    while now.count() > ONE_TASK:
+        color = cut(now.select(F.col("src").alias("n")).union(now.select("dst")).distinct().withColumn("c", F.col("n")))
+        while True:
+            least = cut(now.join(color, F.col("src") == F.col("n")).groupBy("dst").agg(F.min("c").alias("m")))
+            new = cut(color.join(least, F.col("n") == F.col("dst"), "left").select("n", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            color = new.select("n", "c")
+            if new.where("moved").isEmpty():
+                break
+        same = now.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", "a")
+        same = cut(same)
+        reach = step = cut(color.where("n = c").select("n", "c"))
+        while not step.isEmpty():
+            back = same.join(step, (F.col("dst") == F.col("n")) & (F.col("a") == F.col("c"))).select(F.col("src").alias("n"), "c").distinct()
+            step = cut(back.join(reach, ["n", "c"], "left_anti"))
+            reach = cut(reach.union(step))
+        inside = reach.select(F.col("n").alias("src"), F.col("c").alias("part"))
+        own = cut(now.join(inside, "src").join(inside.toDF("dst", "other"), "dst").where("part = other").select("src", "dst", "part"))
+        found.append(own)
+        gone = reach.select("n")
+        now = cyclic_core(now.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+    found.append(_in_one_task(now, _components, f"src {kind}, dst {kind}, part {kind}"))
+    return cut(reduce(DataFrame.union, found))
+
+
+def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None) -> list[list]:
+    """The first elementary cycles of a strongly connected part by length, then lexicographically, each from its least node.
+
+    For each length in turn, paths from each node go through larger ones only, in order,
+    and only where enough steps are left to come back. Where a length, from 4 on, has no
+    cycle, the next to be tried is that of the shortest ones there are.
+    """
+    after: dict = {}
+    before: dict = {}
+    for a, b in sorted(set(edges)):
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    live = sorted(after)
+    found: list[list] = []
+
+    def back(start, most: int | None) -> tuple[dict, bool]:
+        """Steps needed to come to ``start`` from nodes behind it, up to ``most``; and whether that is all."""
+        steps, todo = {start: 0}, deque([start])
+        while todo:
+            n = todo.popleft()
+            if most is not None and steps[n] >= most:
+                return steps, False
+            for m in before.get(n, ()):
+                if m >= start and m not in steps:
+                    steps[m] = steps[n] + 1
+                    todo.append(m)
+        return steps, True
+
+    def shortest(start) -> int | None:
+        steps, _ = back(start, None)
+        return min((steps[m] + 1 for m in after[start] if m in steps), default=None)
+
+    length = 1
+    while live and len(found) < limit and (most_length is None or length <= most_length):
+        n, still = len(found), []
+        for start in live:
+            steps, whole = back(start, length - 1)
+            if not whole or any(m in steps for m in after[start]):
+                still.append(start)
+            if not any(steps.get(m, length) <= length - 1 for m in after[start]):
+                continue
+            path, on, stack = [start], {start}, [iter(after[start])]
+            while stack and len(found) < limit:
+                m = next(stack[-1], None)
+                if m is None:
+                    stack.pop()
+                    on.discard(path.pop())
+                elif len(path) == length:
+                    if m == start:
+                        found.append([*path, start])
+                elif m not in on and steps.get(m, length) <= length - len(path) and m != start:
+                    path.append(m)
+                    on.add(m)
+                    stack.append(iter(after[m]))
+            if len(found) == limit:
+                return found
+        live = still
+        ahead = length + 1
+        if len(found) == n and length >= 4:
+            # nodes that no cycle of larger ones leads back to are done with
+            known = {s: shortest(s) for s in live}
+            live = [s for s in live if known[s] is not None]
+            ahead = max(ahead, min((known[s] for s in live), default=ahead))
+        length = ahead if length < len(after) else len(after) + 1
+        if length > len(after):
+            break
+    return found
 
 
 def cycles(graph: DataFrame, limit: int = 20, most_length: int | None = None) -> DataFrame:
     """(cycle, length): the first elementary cycles by length, then lexicographically, each from its smallest node and closed.
 
-    Self-loops are cycles of length 1. Paths grow from their smallest node through
-    larger ones, inside the cyclic core, so each cycle is met once; no more lengths are
-    tried once ``limit`` cycles are found, or above ``most_length`` if that is given.
+    Self-loops are cycles of length 1, and cycles may be of any length, unless
+    ``most_length`` is given. They lie inside strongly connected parts, each of which is
+    searched on its own for its first ``limit``; a part of more than ONE_TASK edges by
+    paths that grow side by side.
     """
-    core = cyclic_core(graph)
+    inside = strong_components(graph)
+    kind = inside.schema["src"].dataType.simpleString()
+    ddl = f"cycle array<{kind}>, length long"
+    sizes = cut(inside.groupBy("part").agg(F.count("*").alias("n")))
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        rows = first_cycles(list(zip(part["src"].tolist(), part["dst"].tolist(), strict=True)), limit, most_length)
+        return pd.DataFrame({"cycle": rows, "length": [len(c) - 1 for c in rows]})
+
+    small = inside.join(sizes.where(f"n <= {ONE_TASK}").select("part"), "part", "left_semi")
+    found = [small.groupBy("part").applyInPandas(search, ddl)]
+    if not sizes.where(f"n > {ONE_TASK}").isEmpty():
+        found.append(_grown(cut(inside.join(sizes.where(f"n > {ONE_TASK}").select("part"), "part", "left_semi")), limit, most_length))
+    return reduce(DataFrame.union, found).orderBy("length", "cycle").limit(limit)
+
+
+def _grown(core: DataFrame, limit: int, most_length: int | None) -> DataFrame:
+    """Cycles by paths that grow from their smallest node through larger ones; no more lengths are tried once ``limit`` are found."""
     paths = core.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next"))
-    spark, found, n = graph.sparkSession, None, 0
+    found, n = None, 0
     for length in count(1) if most_length is None else range(1, most_length + 1):
         closed = paths.where("next = path[0]").select(F.concat("path", F.array("next")).alias("cycle"), F.lit(length).cast("long").alias("length"))
-        closed = _cut(closed.orderBy("cycle").limit(limit - n))
+        closed = cut(closed.orderBy("cycle").limit(limit - n))
         found = closed if found is None else found.union(closed)
         n += closed.count()
         if n >= limit:
             break
         grown = paths.where("next > path[0]").select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("src"))
-        step = grown.join(core, "src").where("dst >= path[0] AND (dst = path[0] OR NOT array_contains(path, dst))")
-        paths = _cut(step.select("path", F.col("dst").alias("next")))
+        step = grown.join(core.select("src", "dst"), "src").where("dst >= path[0] AND (dst = path[0] OR NOT array_contains(path, dst))")
+        paths = cut(step.select("path", F.col("dst").alias("next")))
         if paths.isEmpty():
             break
-    return found if found is not None else spark.createDataFrame([], "cycle array<string>, length long")
+    return found
 
 
 def node_frequency(graph: DataFrame, limit: int = 50) -> DataFrame:

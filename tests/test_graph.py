@@ -74,3 +74,66 @@ def test_long_rings_are_cycles(spark):
     ring = [f"{i:02}.py" for i in range(14)]
     edges = {(a, b) for a, b in zip(ring, ring[1:] + ring[:1])}
     assert [(r["cycle"], r["length"]) for r in graph.cycles(frame(spark, edges)).collect()] == [([*ring, ring[0]], 14)]
+
+
+def test_rings_and_chains_of_any_length(spark):
+    for n in (14, 300):
+        ring = {(f"{i:03}", f"{(i + 1) % n:03}") for i in range(n)} | {(f"x{i}", f"x{i + 1}") for i in range(n)} | {("005", "x0")}
+        found = graph.cycles(frame(spark, ring)).collect()
+        assert [(r["cycle"], r["length"]) for r in found] == [([*(f"{i:03}" for i in range(n)), "000"], n)]
+    chain = {(f"{i:03}", f"{i + 1:03}") for i in range(500)}
+    assert graph.cyclic_core(frame(spark, chain)).count() == 0 and graph.cycles(frame(spark, chain)).count() == 0
+
+
+def plain_reach(edges):
+    nodes = {x for e in edges for x in e}
+    to = {n: {b for a, b in edges if a == n} for n in nodes}
+    for k in nodes:
+        for n in nodes:
+            if k in to[n]:
+                to[n] |= to[k]
+    return to
+
+
+def test_parts_and_core_in_one_task_and_side_by_side(spark, monkeypatch):
+    r = random.Random(6)
+    for most, size in ((graph.ONE_TASK, 12), (3, 12), (3, 9)):
+        monkeypatch.setattr(graph, "ONE_TASK", most)
+        names = "abcdefghijkl"[:size]
+        edges = {(r.choice(names), r.choice(names)) for _ in range(16)}
+        to = plain_reach(edges)
+        own = {n: min(m for m in to if m == n or (n in to[m] and m in to[n])) for n in to}
+        parts = {tuple(x) for x in graph.strong_components(frame(spark, edges)).collect()}
+        assert parts == {(a, b, own[a]) for a, b in edges if own[a] == own[b] and (a in to[b])}
+        ringed = {n for n in to if n in to[n]}
+        core = {(a, b) for a, b in edges if (a in ringed or any(a in to[c] for c in ringed)) and (b in ringed or any(c in to[b] for c in ringed))}
+        assert {tuple(x) for x in graph.cyclic_core(frame(spark, edges)).collect()} == core
+        got = [x["cycle"] for x in graph.cycles(frame(spark, edges), limit=6).collect()]
+        assert got == all_cycles(edges)[:6]
+
+
+def all_cycles(edges):
+    found = []
+
+    def walk(path):
+        for a, b in sorted(edges):
+            if a == path[-1]:
+                if b == path[0]:
+                    found.append([*path, b])
+                elif b > path[0] and b not in path:
+                    walk([*path, b])
+
+    for n in sorted({x for e in edges for x in e}):
+        walk([n])
+    return sorted(found, key=lambda c: (len(c), c))
+
+
+def test_first_cycles_against_all():
+    r = random.Random(7)
+    for _ in range(300):
+        n = r.randrange(2, 8)
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 14))}
+        for part in {p for *_, p in graph._components(sorted(edges))}:
+            own = [(a, b) for a, b, p in graph._components(sorted(edges)) if p == part]
+            assert graph.first_cycles(own, 5) == all_cycles(own)[:5]
+            assert graph.first_cycles(own, 50, 3) == [c for c in all_cycles(own) if len(c) <= 4][:50]
