@@ -58,9 +58,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """The words that the mix takes of every document; languages keep their shares as far as the sources' targets allow."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, cell="lang").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

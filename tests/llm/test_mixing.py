@@ -62,3 +62,45 @@ def test_balance_of_two_margins(spark):
 def test_words(spark):
     df = spark.createDataFrame([("a b",), (" a\n\x0bb\u2003c ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [2, 2, 0, 0]
+
+
+def test_two_margins_against_brute_force(spark):
+    """Sources meet their targets, languages come as near to their shares as a plain balancing gets them."""
+    r = random.Random(12)
+    langs = {"a": "en en en de fr -", "b": "en de de fr -", "c": "de fr fr fr en -", None: "- - en de fr"}
+    pairs = [(s, None if l == "-" else l) for s, ls in langs.items() for l in ls.split()]
+    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), *r.choice(pairs)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix(docs, cell="lang").collect()
+    mass, taken = {}, {}
+    for x in got:
+        mass[x.source, x.lang] = mass.get((x.source, x.lang), 0) + x.size
+        taken[x.source, x.lang] = taken.get((x.source, x.lang), 0) + x.taken
+    total = sum(mass.values())
+    sizes = {s: sum(m for (a, _), m in mass.items() if a == s) for s, _ in mass}
+    want = plain_targets(sizes)
+    shares = {l: sum(m for (_, b), m in mass.items() if b == l) for _, l in mass}
+    log = dict.fromkeys(mass, 0.0)
+    rate = lambda k: min(3.0, math.exp(log[k]))
+    for _ in range(3000):  # proportional fitting with the cap, sources last
+        for i, goal in ((1, shares), (0, want)):
+            for key, t in goal.items():
+                own = [k for k in mass if k[i] == key]
+                have = sum(mass[k] * rate(k) for k in own)
+                step = 0.3 * math.log(t / have) if have and t else 0.0
+                for k in own:
+                    log[k] += step
+    for s, t in want.items():
+        assert abs(sum(v for (a, _), v in taken.items() if a == s) - t) <= max(5, 0.01 * t), s
+    for k, m in mass.items():
+        assert abs(taken[k] - m * rate(k)) <= 0.05 * total / len(mass), (k, taken[k], m * rate(k))
+    plain = {k: m * want[k[0]] / sizes[k[0]] for k, m in mass.items()}
+    miss = lambda t: sum(abs(sum(v for (_, b), v in t.items() if b == l) - x) for l, x in shares.items())
+    assert miss(taken) < 0.7 * miss(plain)
+
+
+def test_numbered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBERED", 7)
+    df = spark.createDataFrame([(f"s{i * 37 % 101}",) for i in range(101)], "s string")
+    got = {r.s: r.n for r in mixing.numbered(df, ["s"], "n").collect()}
+    assert got == {s: i + 1 for i, s in enumerate(sorted(got))}
