@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import posixpath
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,8 +43,10 @@ class Call:
 Parsed = tuple[list[Symbol], list[Call]]
 
 
-def _signature(piece: bytes) -> str:
-    return piece.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace")[:SIGNATURE_CHARS]
+def _signature(source: bytes, start: int, end: int) -> str:
+    """The first line of a span."""
+    stop = source.find(b"\n", start, end)
+    return source[start : stop if stop >= 0 else end].rstrip(b"\r").decode("utf-8", "replace")[:SIGNATURE_CHARS]
 
 
 # ---- Python
@@ -70,7 +73,7 @@ def parse_python(source: bytes) -> Parsed:
             start, end = at(node.lineno, node.col_offset), at(node.end_lineno, node.end_col_offset)
             is_class = isinstance(node, ast.ClassDef)
             kind = "class" if is_class else "method" if "class" in above[-4:] else "function"
-            symbols.append(Symbol(node.name, kind, start, end, _signature(source[start:end]), _docstring(node, source, at)))
+            symbols.append(Symbol(node.name, kind, start, end, _signature(source, start, end), _docstring(node, source, at)))
             decorated = ("decorated",) if node.decorator_list else ()
             inner = (*above, *decorated, "class" if is_class else "function", "block")
         elif isinstance(node, ast.Call):
@@ -156,6 +159,7 @@ _TYPED_LANGS = {"c", "cpp", "java", "c_sharp", "dart", "javascript", "typescript
 _CALL = re.compile(r"([A-Za-z_][\w]*(?:(?:\?\.|\.|::)[A-Za-z_]\w*)*)(?:<[\w, ]*>)?\s*\(")
 _SLASHES = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _HASHES = re.compile(r'''\#[^\n]*|""".*?(?:"""|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*\'''', re.S)
+_OPENS = re.compile(r"\s*\{")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _BLOCK_WORDS = re.compile(r"\b(?:do|fn|end)\b|^[ \t]*(?:class|module|def|if|unless|case|while|until|begin|for)\b", re.M)
 
@@ -166,33 +170,57 @@ def _blank(text: str, lang: str) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def _close(text: str, at: int) -> int:
-    """Behind the brace that closes the one at ``at``."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
-
-
-def _body_end(text: str, start: int, head: int, lang: str, kind: str) -> int:
-    line_end = text.find("\n", head)
-    line_end = len(text) if line_end < 0 else line_end
+class _Text:
+    """A text without comments and strings, with what is looked for in it again and again found once."""
+
+    def __init__(self, text: str, lang: str):
+        self.text, self.lang = text, lang
+        self.places = {c: [m.start() for m in re.finditer(re.escape(c), text)] for c in "{};"} if lang not in _BY_END | {"python"} else {}
+        #: Of an opening brace or word, where what closes it ends.
+        self.closed: dict[int, int] = {}
+        self.opened: list[int] = []
+        stack: list[int] = []
+        if lang in _BY_END:
+            for m in _BLOCK_WORDS.finditer(text):
+                word = m.group().strip()
+                if lang == "elixir" and word not in ("do", "fn", "end"):
+                    continue
+                if lang == "ruby" and word == "do" and re.search(r"^[ \t]*(?:while|until|for)\b", text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
+                    continue
+                if word != "end":
+                    stack.append(m.start())
+                    self.opened.append(m.start())
+                elif stack:
+                    self.closed[stack.pop()] = m.end()
+        else:
+            for at in sorted(self.places.get("{", []) + self.places.get("}", [])):
+                if text[at] == "{":
+                    stack.append(at)
+                elif stack:
+                    self.closed[stack.pop()] = at + 1
+
+    def next(self, c: str, at: int) -> int:
+        """The first place of a character from ``at`` on, or -1."""
+        i = bisect_left(self.places[c], at)
+        return self.places[c][i] if i < len(self.places[c]) else -1
+
+    def close(self, at: int) -> int:
+        """Behind what closes the brace or word at ``at``; the end if nothing does."""
+        return self.closed.get(at, len(self.text))
+
+    def line_end(self, at: int) -> int:
+        end = self.text.find("\n", at)
+        return len(self.text) if end < 0 else end
+
+
+def _body_end(whole: _Text, start: int, head: int, kind: str) -> int:
+    text, lang = whole.text, whole.lang
+    line_end = whole.line_end(head)
     if lang in _BY_END:
-        depth = 0
         if lang == "elixir" and not re.search(r"\bdo\b(?!:)", text[head:line_end]):
             return line_end
-        for m in _BLOCK_WORDS.finditer(text, start):
-            word = m.group().strip()
-            if lang == "elixir" and word not in ("do", "fn", "end"):
-                continue
-            if lang == "ruby" and word == "do" and re.search(r"^[ \t]*(?:while|until|for)\b", text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
-                continue
-            depth += -1 if word == "end" else 1
-            if depth == 0:
-                return m.end()
-        return len(text)
+        i = bisect_left(whole.opened, start)
+        return whole.close(whole.opened[i]) if i < len(whole.opened) else len(text)
     if lang == "python":
         indent = len(text[start:head]) - len(text[start:head].lstrip())
         end = line_end
@@ -206,19 +234,20 @@ def _body_end(text: str, start: int, head: int, lang: str, kind: str) -> int:
         closer = ">" if kind == "element" else ";"
         stop = text.find(closer, head)
         return stop + 1 if 0 <= stop and (kind == "element" or stop <= line_end) else line_end
-    brace, stop = text.find("{", head), text.find(";", head)
+    brace, stop = whole.next("{", head), whole.next(";", head)
     if lang == "r" or lang == "go" and kind == "class" or lang == "kotlin":
         stop = line_end  # a body opens on the head's line
     if brace < 0 or 0 <= stop < brace:
         return line_end if lang in ("r", "kotlin", "go") else (stop + 1 if stop >= 0 else line_end)
-    outer = text.find("}", head, brace)
-    return _close(text, brace) if outer < 0 else min(outer, line_end)
+    outer = whole.next("}", head)
+    return min(outer, line_end) if 0 <= outer < brace else whole.close(brace)
 
 
 def parse_lexically(source: bytes, lang: str) -> Parsed:
     """Definitions and calls by expressions over the text without comments and strings."""
     text = source.decode("latin-1")  # offsets are bytes
     bare = text if lang == "css" else _blank(text, lang)
+    whole = _Text(bare, lang)
     found: dict[int, Symbol] = {}
     names: set[int] = set()
     for kind, pattern in _HEADS.get(lang, []):
@@ -235,23 +264,20 @@ def parse_lexically(source: bytes, lang: str) -> Parsed:
             if lang == "javascript" or lang == "typescript":
                 if "=" in m.group() and kind == "function":
                     start = head  # the span is that of the bound value
-            end = _body_end(bare, start, head, lang, kind)
-            if lang in ("javascript", "typescript") and start == head and "=>" in bare[head : bare.find("\n", head) if "\n" in bare[head:] else len(bare)]:
-                arrow = bare.index("=>", head) + 2
-                if not bare[arrow:].lstrip().startswith("{"):
-                    stop = [i for i in (bare.find(";", arrow), bare.find("\n", arrow)) if i >= 0]
-                    end = min(stop) if stop else len(bare)
+            end = _body_end(whole, start, head, kind)
+            if lang in ("javascript", "typescript") and start == head and (arrow := bare.find("=>", head, whole.line_end(head)) + 2) > 1:
+                if not _OPENS.match(bare, arrow):
+                    end = min(whole.line_end(arrow), stop if (stop := whole.next(";", arrow)) >= 0 else len(bare))
             raw = name.encode("latin-1").decode("utf-8", "replace")
-            found[start] = Symbol(raw.split("::")[-1], kind, start, end, _signature(source[start:end]), _comment_above(text, start, lang))
+            found[start] = Symbol(raw.split("::")[-1], kind, start, end, _signature(source, start, end), _comment_above(text, start, lang))
     symbols = sorted(found.values(), key=lambda s: (s.start, -s.end))
-    for s in symbols:
-        inside = any(o.kind in ("class", "enum") and o.start < s.start and s.end <= o.end for o in symbols)
+    for s, inside in zip(symbols, _inside(symbols, ("class", "enum")), strict=True):
         if s.kind == "function" and inside and lang in _TO_METHOD:
             s.kind = "method"
         elif s.kind == "method" and not inside and lang == "ruby":
             s.kind = "function"
     if lang in ("javascript", "typescript", "java", "c_sharp"):
-        symbols = [s for s in symbols if s.kind != "method" or any(o.kind == "class" and o.start < s.start and s.end <= o.end for o in symbols)]
+        symbols = [s for s, inside in zip(symbols, _inside(symbols, ("class",)), strict=True) if s.kind != "method" or inside]
     calls = []
     for m in _CALL.finditer(bare):
         last = m.end(1) - len(re.split(r"\?\.|\.|::", m.group(1))[-1])
@@ -261,16 +287,33 @@ def parse_lexically(source: bytes, lang: str) -> Parsed:
     return symbols, calls
 
 
+def _inside(symbols: list[Symbol], kinds: tuple[str, ...]) -> list[bool]:
+    """Of symbols in order of start, whether one of the kinds begins before and holds each."""
+    out, reach, at, coming = [], -1, -1, -1
+    for s in symbols:
+        if s.start > at:
+            at, reach = s.start, max(reach, coming)
+        out.append(s.end <= reach)
+        if s.kind in kinds:
+            coming = max(coming, s.end)
+    return out
+
+
 def _comment_above(text: str, start: int, lang: str) -> str | None:
     """The comment that directly precedes, as it stands."""
-    above = text[:start].rstrip(" \t")
-    if above.endswith("\n"):
-        above = above[:-1].rstrip()
-        if above.endswith("*/") and "/*" in above:
-            return above[above.rindex("/*") :].encode("latin-1").decode("utf-8", "replace")
-        line = above[above.rfind("\n") + 1 :].strip()
-        if line.startswith("#" if lang in _HASH else "//"):
-            return line.encode("latin-1").decode("utf-8", "replace")
+    at = start
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if not at or text[at - 1] != "\n":
+        return None
+    at -= 1
+    while at and text[at - 1].isspace():
+        at -= 1
+    if text.endswith("*/", 0, at) and (opened := text.rfind("/*", 0, at)) >= 0:
+        return text[opened:at].encode("latin-1").decode("utf-8", "replace")
+    line = text[text.rfind("\n", 0, at) + 1 : at].strip()
+    if line.startswith("#" if lang in _HASH else "//"):
+        return line.encode("latin-1").decode("utf-8", "replace")
     return None
 
 
@@ -327,9 +370,11 @@ def extract(files: DataFrame, content: str = "content") -> tuple[DataFrame, Data
                 for i, s in enumerate(symbols):
                     rows.append(("symbol", repo, path, s.name, s.kind, s.start, s.end, s.signature, s.docstring, i, None))
                 if posixpath.splitext(path)[1] in languages.CALLS:
+                    places = [c.pos for c in calls]
                     for s in {s.name: s for s in symbols}.values():
                         if s.kind in ("function", "method"):
-                            for j, name in enumerate(dict.fromkeys(c.name for c in calls if s.start <= c.pos < s.end)):
+                            own = calls[bisect_left(places, s.start) : bisect_left(places, s.end)]
+                            for j, name in enumerate(dict.fromkeys(c.name for c in own)):
                                 rows.append(("call", repo, path, s.name, s.kind, s.start, s.end, None, None, j, name))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TYPES, strict=True)], schema=_TYPES)

@@ -116,3 +116,18 @@ def test_routes(spark):
     for p, (_, expected) in ROUTES.items():
         assert got[p] == expected, p
     assert got["bad.py"] == {("GET", "/z", "z")}
+
+
+@pytest.mark.parametrize(("path", "piece"), [("a.html", "<a>x</a>\n"), ("a.js", "// doc\nconst f@ = (a) => a + 1\nfunction g@(x) { return f@(x) }\n"), ("a.kt", "fun f@(x: Int) { g(x) }\n"), ("a.rb", "def f@\n  g(1)\nend\n"), ("A.java", "class C@ {\n  /* d */\n  public void m@() { go(); }\n}\n")])
+def test_reading_is_linear(path, piece):
+    """Ten times the text takes about ten times as long, not a hundred."""
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        text = "".join(piece.replace("@", str(i)) for i in range(n)).encode()
+        start = time.perf_counter()
+        found, _ = symbols.parse(path, text)
+        took.append(time.perf_counter() - start)
+        assert len(found) >= n
+    assert took[1] < 35 * max(took[0], 0.02), took
