@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import text as fn
-from srcatlas.functions.embed import Embedder
+from srcatlas.functions.embed import Embedder, for_query
 from srcatlas.operators import graph, search, stats, upsert
 from srcatlas.plans import pack
 from srcatlas.sources import scan
-from srcatlas.sources.snapshot import Store, derive_repo_name, refresh
+from srcatlas.sources.snapshot import Store, derive_repo_name, git_branch, refresh
 from srcatlas.streaming import watch as streaming
 
 
@@ -28,37 +30,34 @@ class AtlasError(Exception):
 class Atlas:
     """Indexes trees and answers queries; results are DataFrames, but for text and dicts where said."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
-        self.spark, self.store, self.embedder = spark, Store(spark, root), embedder
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, fresh_seconds: float = 60):
+        """Results' freshness is looked up anew if the index changed, or after ``fresh_seconds``: it takes a listing of the tree."""
+        self.spark, self.store, self.embedder, self.fresh_seconds = spark, Store(spark, root), embedder, fresh_seconds
+        self._status: dict[str, tuple[int, float, Row]] = {}
 
     # ---- maintenance
 
     def index_folder(self, path: str, name: str | None = None, prune_missing: bool = False, embed: bool = False) -> dict:
         if not self.store.exists(path):
             raise AtlasError(400, "invalid_request", f"no such folder: {path}")
-        return refresh(self.store, path, derive_repo_name(path, name), prune_missing, self.embedder if embed else None)
+        return refresh(self.store, path, derive_repo_name(path, name, git_branch(path)), prune_missing, self.embedder if embed else None)
 
     index_repo = index_folder
 
     def invalidate_cache(self, repo: str, file: str | None = None, keep_routes: bool = False) -> int:
         """Takes a repository's rows out, or those of one file; how many files that were."""
         repo = self._known(repo)
-        tables = self.store.tables()
-        hit = tables["files"].where((F.col("repo") == repo) & (F.lit(True) if file is None else F.col("path") == file))
-        n = hit.count()
+        tables = self.store.tables(repo)
+        n = tables["files"].where(F.lit(True) if file is None else F.col("path") == file).count()
         left = upsert.invalidate(tables, repo, file, keep_routes)
         gone = F.col("repo") == repo if file is None else (F.col("repo") == repo) & (F.col("file") == file)
         left["calls"] = tables["calls"].where(~gone)
         left["edges"] = graph.resolve_calls(left["calls"], left["symbols"])
-        self.store.commit(left)
+        self.store.commit(repo, left)
         return n
 
     def remove_repo(self, repo: str) -> None:
-        repo = self._known(repo)
-        left = upsert.invalidate(self.store.tables(), repo)
-        left["calls"] = left["calls"].where(F.col("repo") != repo)
-        left["repos"] = left["repos"].where(F.col("name") != repo)
-        self.store.commit(left)
+        self.store.remove(self._known(repo))
 
     def gc_stale_indexes(self) -> list[str]:
         """Removes repositories whose tree is gone, and snapshots that are no longer current."""
@@ -69,7 +68,7 @@ class Atlas:
         return gone
 
     def watch(self, path: str, checkpoint: str, name: str | None = None, interval: str = "5 seconds", idle_seconds: float = 1800, embed: bool = False):
-        return streaming.watch(self.store, path, derive_repo_name(path, name), checkpoint, interval, idle_seconds, self.embedder if embed else None)
+        return streaming.watch(self.store, path, derive_repo_name(path, name, git_branch(path)), checkpoint, interval, idle_seconds, self.embedder if embed else None)
 
     # ---- lookups
 
@@ -78,20 +77,20 @@ class Atlas:
 
     def _known(self, repo: str) -> str:
         repo = repo.lower()
-        if self.store.table("repos").where(F.col("name") == repo).isEmpty():
+        if repo not in self.store.manifest():
             raise AtlasError(404, "repo_not_indexed", f"not indexed: {repo}")
         return repo
 
     def _root(self, repo: str) -> str:
-        return self.store.table("repos").where(F.col("name") == repo).first()["root_path"]
+        return self.store.manifest()[repo]["root_path"]
 
     def sources(self, repo: str) -> DataFrame:
         """The repository's files with their content of now."""
-        indexed = self.store.table("files").where(F.col("repo") == repo).select("repo", "path")
-        return scan.scan_tree(self.spark, self._root(repo), repo).join(indexed, ["repo", "path"], "left_semi")
+        indexed = self.store.table("files", repo).select("repo", "path")
+        return scan.read_files(scan.list_tree(self.spark, self._root(repo), repo).join(indexed, ["repo", "path"], "left_semi"))
 
     def _table(self, name: str, repo: str) -> DataFrame:
-        return self.store.table(name).where(F.col("repo") == repo)
+        return self.store.table(name, repo)
 
     def search_symbols(self, query: str, repo: str | None = None, kind: str | None = None, limit: int = 20) -> DataFrame:
         if not query or not query.strip():
@@ -103,32 +102,46 @@ class Atlas:
         return self._rated(found, "symbol", repo)
 
     def _rated(self, found: DataFrame, kind: str, repo: str, score: Column | None = None) -> DataFrame:
-        status = self.get_index_status(repo).first()
+        n, known = self.store.current(), self._status.get(repo)
+        if known is None or known[0] != n or time.monotonic() - known[1] > self.fresh_seconds:
+            self._status[repo] = known = (n, time.monotonic(), self.get_index_status(repo).first())
+        status = known[2]
         path = F.col("file") if "file" in found.columns else F.col("path")
         handler = F.col("handler") if kind == "route" else None
         return found.withColumn("quality", fn.quality(kind, path, handler=handler, score=score, stale=F.lit(status["stale"]), last_indexed=F.lit(status["last_indexed"]), has_embeddings=F.lit(status["has_embeddings"])))
 
     def find(self, name: str, repo: str) -> DataFrame:
-        return search.symbols_named(self._table("symbols", self._known(repo)), [name])
+        """The first symbol that the name finds."""
+        return self.search_symbols(name, repo, limit=1)
 
     def get_symbol(self, repo: str, file: str, start_byte: int, end_byte: int) -> DataFrame:
         if end_byte <= start_byte:
             raise AtlasError(400, "invalid_request", "the end must be behind the start")
         repo = self._known(repo)
-        found = search.symbol_at(self._table("symbols", repo), self.sources(repo), repo, file, start_byte, end_byte)
-        if self._table("files", repo).where(F.col("path") == file).isEmpty():
-            raise AtlasError(404, "file_not_found", f"not indexed: {file}")
-        return found
+        own = scan.read_files(scan.list_tree(self.spark, self._root(repo), repo).where(F.col("path") == file))
+        if own.isEmpty():
+            raise AtlasError(404, "file_not_found", f"no such file: {file}")
+        piece = own.select("repo", search.byte_range(F.col("content"), F.lit(start_byte), F.lit(end_byte)).alias("source"))
+        named = self._table("symbols", repo).where((F.col("file") == file) & (F.col("start_byte") == start_byte) & (F.col("end_byte") == end_byte)).drop("source")
+        # a span that is no symbol's is read all the same
+        return piece.join(named, "repo", "left").fillna({"name": "", "kind": ""})
 
     def get_symbols(self, names: list[str], repo: str) -> DataFrame:
         return search.symbols_named(self._table("symbols", self._known(repo)), names)
 
     def get_file_outline(self, repo: str, file: str) -> DataFrame:
         repo = self._known(repo)
-        return self._rated(search.file_outline(self.store.table("symbols"), repo, file), "outline", repo)
+        found = search.file_outline(self._table("symbols", repo), repo, file)
+        if found.isEmpty():
+            raise AtlasError(404, "file_not_found", f"no symbols of {file}")
+        return self._rated(found, "outline", repo)
 
-    def get_repo_outline(self, repo: str) -> DataFrame:
-        return self._table("symbols", self._known(repo)).groupBy("file").agg(F.count("*").alias("symbols")).orderBy("file")
+    def get_repo_outline(self, repo: str) -> dict:
+        """The tree to three levels, and the counts of get_repo_stats' summary."""
+        repo = self._known(repo)
+        row = stats.repo_summary(*[self._table(t, repo) for t in ("files", "symbols", "routes")]).first()
+        known = row.asDict() if row is not None else {}
+        return {"repo": repo, "tree": self.get_file_tree(repo, 3), "stats": known | {"files": known.get("file_count", 0), "symbols": known.get("symbol_count", 0)}}
 
     def search_text(self, query: str, repo: str, file_pattern: str | None = None) -> DataFrame:
         if not query:
@@ -139,7 +152,7 @@ class Atlas:
     def savings(self, results: DataFrame, repo: str) -> dict:
         """Tokens saved by result rows with a file and a text."""
         row = stats.search_savings(results, self.sources(self._known(repo))).first().asDict()
-        return row | {"summary": stats.savings_text(row)}
+        return row | {"summary": stats.savings_text(row), "hint": stats.savings_hint(row)}
 
     def get_file_tree(self, repo: str, depth: int = 3) -> str:
         return graph.render_tree(self._table("files", self._known(repo)), depth)
@@ -148,7 +161,7 @@ class Atlas:
         repo = self._known(repo)
         if self.embedder is None:
             raise AtlasError(500, "embedding_error", "no embedder is set")
-        found = search.search_vectors(self._table("symbols", repo), self.embedder([query])[0], limit=limit)
+        found = search.search_vectors(self._table("symbols", repo), for_query(self.embedder, query), limit=limit)
         return self._rated(found, "semantic", repo, F.col("score"))
 
     def get_callers(self, name: str, repo: str) -> DataFrame:
@@ -175,16 +188,21 @@ class Atlas:
             raise AtlasError(400, "invalid_request", "the query is empty")
         index = pack.Index(self.sources(repo), *[self._table(t, repo) for t in ("symbols", "edges", "routes")])
         embedded = self.embedder is not None and not self._table("symbols", repo).where("embedding IS NOT NULL").isEmpty()
-        return pack.context_pack(index, query, token_budget, include, exclude, vector=self.embedder([query])[0] if embedded else None)
+        return pack.context_pack(index, query, token_budget, include, exclude, vector=for_query(self.embedder, query) if embedded else None)
 
     # ---- statistics
 
     def get_index_status(self, repo: str, now: Column | None = None) -> DataFrame:
         repo = self._known(repo)
-        listing = scan.scan_tree(self.spark, self._root(repo), repo).select("repo", "path", "mtime")
-        status = stats.index_status(self._table("files", repo), listing, now if now is not None else F.current_timestamp())
+        files = self._table("files", repo)
+        listing = scan.list_tree(self.spark, self._root(repo), repo).select("repo", "path", "mtime")
+        status = stats.index_status(files, listing, now if now is not None else F.current_timestamp())
+        counts = files.groupBy("repo").agg(F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines_of_code"))
         vectors = search.has_embeddings(self._table("symbols", repo), ["repo"])
-        return status.join(vectors, "repo", "left").withColumn("has_embeddings", F.coalesce("has_embeddings", F.lit(False)))
+        number = self._table("symbols", repo).groupBy("repo").agg(F.count("*").alias("symbol_count"))
+        out = status.join(counts, "repo", "left").join(vectors, "repo", "left").join(number, "repo", "left")
+        out = out.withColumn("has_embeddings", F.coalesce("has_embeddings", F.lit(False))).withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0))).withColumn("watcher_active", F.lit(self.store.watched(repo)))
+        return out.withColumn("quality", fn.status_quality(F.col("stale"), F.col("last_indexed"), F.col("has_embeddings")))
 
     def get_repo_stats(self, repo: str) -> dict:
         repo = self._known(repo)

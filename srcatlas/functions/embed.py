@@ -13,14 +13,32 @@ from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
-    """Called once for each batch of texts on an executor."""
+    """Called once for each batch of texts on an executor.
+
+    ``prefixes`` are what asymmetric models want before a text to be indexed and before a
+    query; an embedder without them gets PREFIXES.
+    """
 
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
 
+# What stands before texts that are indexed, and before queries.
+PREFIXES = ("search_document: ", "search_query: ")
+
+
+def for_index(embedder: Embedder, texts: list[str]) -> list[list[float]]:
+    return embedder([getattr(embedder, "prefixes", PREFIXES)[0] + t for t in texts])
+
+
+def for_query(embedder: Embedder, text: str) -> list[float]:
+    return embedder([getattr(embedder, "prefixes", PREFIXES)[1] + text])[0]
+
+
 class HashingEmbedder:
     """Unit vectors of signed word hashes."""
 
+    prefixes = ("", "")
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
@@ -48,6 +66,6 @@ def embed(df: DataFrame, text: Column, embedder: Embedder, name: str = "embeddin
 
     @F.arrow_udf("array<float>")
     def udf(texts: pa.Array) -> pa.Array:
-        return pa.array(embedder([t or "" for t in texts.to_pylist()]), pa.list_(pa.float32()))
+        return pa.array(for_index(embedder, [t or "" for t in texts.to_pylist()]), pa.list_(pa.float32()))
 
     return df.withColumn(name, udf(text))

@@ -120,7 +120,8 @@ def parser_mode(path: Column, kind: str) -> Column:
     if kind in ("text", "route"):
         return F.lit({"text": "fallback_text", "route": "regex_route"}[kind])
     surface = language_surface(path)
-    return F.when(surface == "markdown", "native_markdown").when(surface == "unknown", "unknown").otherwise("tree_sitter")
+    # the readers that are used here: Python by its grammar, others lexically
+    return F.when(surface == "markdown", "native_markdown").when(surface == "unknown", "unknown").when(surface == "python", "grammar").otherwise("lexical")
 
 
 # What makes a path one of generated code.
@@ -176,3 +177,8 @@ def quality(kind: str, path: Column, handler: Column | None = None, score: Colum
         (has_embeddings if has_embeddings is not None else none.cast("boolean")).alias("has_embeddings"),
         route.alias("route_confidence"),
     )
+
+
+def status_quality(stale: Column, last_indexed: Column, has_embeddings: Column) -> Column:
+    """The quality struct of an index's status. Confidence and reason are fixed values."""
+    return F.struct(F.lit(0.90).alias("confidence"), F.lit("index status from registry and files table").alias("confidence_reason"), (~stale).alias("index_fresh"), last_indexed.alias("last_indexed"), has_embeddings.alias("has_embeddings"))

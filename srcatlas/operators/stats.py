@@ -80,3 +80,9 @@ def savings_text(row: dict) -> str:
     """A sentence on the saved tokens."""
     files, lines = row["files_searched"], row["lines_searched"]
     return f"Token savings: ~{row['tokens_saved']:,} saved (~{row['tokens_with']:,} used vs ~{row['tokens_without']:,} full-read; {lines:,} {'line' if lines == 1 else 'lines'}/{files:,} {'file' if files == 1 else 'files'})."
+
+
+def savings_hint(row: dict) -> str:
+    """A sentence that asks an agent to pass the saving on."""
+    files, lines = row["files_searched"], row["lines_searched"]
+    return f"When responding to the human, mention briefly that ~{row['tokens_saved']:,} tokens were saved by retrieving {lines:,} indexed {'line' if lines == 1 else 'lines'} from {files:,} {'file' if files == 1 else 'files'} (~{row['tokens_with']:,} tokens used vs ~{row['tokens_without']:,} full-read)."

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import text as fn
+from srcatlas.lineage import cut
 
 # Directories and extensions that are never read, and patterns that are always ignored.
 SKIP_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".mypy_cache", ".pytest_cache"]
@@ -62,13 +63,15 @@ def _root(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toString().rstrip("/")
 
 
-def _hidden(spark: SparkSession, base: str) -> tuple[list[str], DataFrame | None]:
-    """What Spark's listing leaves out as its name starts with . or _: folders, and files with their content.
+_SCHEME = r"^[a-z][a-z0-9+.-]*:/*"
+#: So many files at most are named one by one to Spark; of more, their folders are.
+NAMED = 5_000
+#: Bytes of hidden files that the driver holds at once.
+HELD = 64 << 20
 
-    Spark skips such files even where they are named, so they are read here through
-    Hadoop's file system, one after another: package markers and settings, few and short
-    beside the sources.
-    """
+
+def _hidden(spark: SparkSession, base: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """What Spark's listing leaves out as its name starts with . or _: folders, and files with their time and size."""
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     folders, rows, level = [], [], base
@@ -79,34 +82,81 @@ def _hidden(spark: SparkSession, base: str) -> tuple[list[str], DataFrame | None
                 continue
             if s.isDirectory():
                 folders.append(name)
-                continue
-            stream = fs.open(s.getPath())
-            try:
-                rows.append((name, s.getModificationTime(), s.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            finally:
-                stream.close()
+            else:
+                rows.append((name, s.getModificationTime(), s.getLen()))
         level += "/*"
-    found = spark.createDataFrame(rows, "path string, ms long, length long, content binary") if rows else None
-    return folders, None if found is None else found.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
+    return folders, rows
 
 
-def scan_tree(spark: SparkSession, root: str, repo: str, ignores: list[str] | None = None) -> DataFrame:
-    """(repo, path, mtime, size, content) of a tree's files that are neither skipped nor ignored.
+def _binary(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
+    """Files as Spark reads them; names are taken as they are."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("__globPaths__", "false").load(paths)
 
-    Ignore files are read at the root; their lines come to the driver, nothing else.
+
+def list_tree(spark: SparkSession, root: str, repo: str, ignores: list[str] | None = None) -> DataFrame:
+    """(repo, path, mtime, size, uri, hidden) of a tree's files that are neither skipped nor ignored. No content is read.
+
+    Ignore files at the root are the exception: their lines come to the driver.
     """
     base = _root(spark, root)
     folders, hidden = _hidden(spark, base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([base, *folders])
-    files = files if hidden is None else files.unionByName(hidden)
-    bare = lambda c: F.regexp_replace(c, r"^[a-z][a-z0-9+.-]*:/*", "/")
-    start = len(re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", base)) + 2
-    found = files.withColumn("path", F.substr(bare(F.col("path")), F.lit(start))).withColumnRenamed("modificationTime", "mtime").withColumnRenamed("length", "size")
-    lines = list(DEFAULT_IGNORES)
+    files = _binary(spark, [base, *folders], True).select(F.col("path").alias("uri"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.lit(False).alias("hidden"))
+    if hidden:
+        rows = spark.createDataFrame(hidden, "uri string, ms long, size long")
+        files = files.unionByName(rows.select("uri", F.timestamp_millis("ms").alias("mtime"), "size", F.lit(True).alias("hidden")))
+    start = len(re.sub(_SCHEME, "/", base)) + 2
+    bare = F.regexp_replace("uri", _SCHEME, "/")
+    found = files.select(F.lit(repo).alias("repo"), F.substr(bare, F.lit(start)).alias("path"), "mtime", "size", "uri", "hidden")
     if ignores is None:
-        rows = {r["path"]: bytes(r["content"]).decode("utf-8", "replace") for r in found.where(F.col("path").isin(IGNORE_FILES)).select("path", "content").collect()}
-        ignores = [line for name in IGNORE_FILES for line in rows.get(name, "").splitlines()]
-    return keep_sources(found.withColumn("repo", F.lit(repo)).select("repo", "path", "mtime", "size", "content"), lines + ignores)
+        rules = {name: uri for uri, *_ in hidden if (name := uri[len(base) + 1 :]) in IGNORE_FILES}
+        ignores = [line for name in IGNORE_FILES if name in rules for line in _bytes(spark, rules[name]).decode("utf-8", "replace").splitlines()]
+    return keep_sources(found, DEFAULT_IGNORES + ignores)
+
+
+def _bytes(spark: SparkSession, uri: str) -> bytes:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(path)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def read_files(listed: DataFrame) -> DataFrame:
+    """(repo, path, mtime, size, content) of listed files; nothing else of the tree is read.
+
+    Names come to the driver, as they do for any listing of Spark's. Spark refuses files
+    whose name starts with . or _ even where they are named, so these are read on the
+    driver, HELD bytes at a time, and stored: package markers and settings, as a rule.
+    """
+    spark = listed.sparkSession
+    listed = cut(listed)
+    columns = ["repo", "path", "mtime", "size", "content"]
+    plain = [r["uri"] for r in listed.where("NOT hidden").select("uri").collect()]
+    if len(plain) > NAMED:
+        plain = sorted({uri.rpartition("/")[0] for uri in plain})
+    out = []
+    if plain:
+        content = _binary(spark, plain, False).select(F.col("path").alias("uri"), "content")
+        out.append(content.join(listed.where("NOT hidden"), "uri").select(columns))
+    held, size = [], 0
+    for r in [*listed.where("hidden").select("uri", "size").toLocalIterator(), None]:
+        if held and (r is None or size + r["size"] > HELD):
+            got = spark.createDataFrame(held, "uri string, content binary")
+            out.append(cut(got).join(listed, "uri").select(columns))
+            held, size = [], 0
+        if r is not None:
+            held.append((r["uri"], bytearray(_bytes(spark, r["uri"]))))
+            size += r["size"]
+    if not out:
+        return spark.createDataFrame([], "repo string, path string, mtime timestamp, size long, content binary")
+    return reduce(DataFrame.unionByName, out)
+
+
+def scan_tree(spark: SparkSession, root: str, repo: str, ignores: list[str] | None = None) -> DataFrame:
+    """(repo, path, mtime, size, content) of a tree's files that are neither skipped nor ignored: listed first, then read."""
+    return read_files(list_tree(spark, root, repo, ignores))
 
 
 def keep_sources(files: DataFrame, lines: list[str]) -> DataFrame:

@@ -153,7 +153,7 @@ _HEADS = {lang: [(kind, re.compile(p, re.M)) for kind, p in rules] for lang, rul
 _HASH = {"python", "ruby", "elixir", "bash", "r"}
 _BY_END = {"ruby", "elixir"}
 _TO_METHOD = {"rust", "cpp", "kotlin", "dart", "swift", "php", "python"}
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "throw", "await", "function", "sizeof", "super", "in", "when", "using", "lock", "foreach", "elif", "match", "synchronized", "try"}
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "throw", "await", "function", "sizeof", "super", "in", "when", "using", "lock", "foreach", "elif", "match", "synchronized", "try", "async", "func", "fun", "fn", "def"}
 #: Languages in which a definition shows no keyword, so control flow looks like one.
 _TYPED_LANGS = {"c", "cpp", "java", "c_sharp", "dart", "javascript", "typescript"}
 _CALL = re.compile(r"([A-Za-z_][\w]*(?:(?:\?\.|\.|::)[A-Za-z_]\w*)*)(?:<[\w, ]*>)?\s*\(")
@@ -188,8 +188,8 @@ class _Text:
                 if lang == "ruby" and word == "do" and re.search(r"^[ \t]*(?:while|until|for)\b", text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
                     continue
                 if word != "end":
-                    stack.append(m.start())
-                    self.opened.append(m.start())
+                    stack.append(m.end() - len(word))
+                    self.opened.append(m.end() - len(word))
                 elif stack:
                     self.closed[stack.pop()] = m.end()
         else:

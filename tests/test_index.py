@@ -153,3 +153,67 @@ def test_watch(spark, tree, tmp_path):
         assert query.awaitTermination(90)  # idle
     finally:
         query.stop()
+
+
+def test_a_commit_touches_one_repository(spark, tree, tmp_path):
+    """The other one's files stay as they are, and a reader never meets an empty index."""
+    import os
+    import threading
+
+    store = Store(spark, str(tmp_path / "index"))
+    refresh(store, str(tree), "one")
+    refresh(store, str(tree / "docs"), "two")
+    stamp = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path / "index/data/two") for f in fs}
+    before, seen, done = stamp(), [], threading.Event()
+
+    def look():
+        while not done.is_set():
+            seen.append(set(store.manifest()))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    (tree / "more.py").write_text("def more(): pass\n")
+    assert refresh(store, str(tree), "one", quick=True) == {"repo": "one", "indexed": 1, "skipped": 5, "removed": 0}
+    done.set()
+    reader.join()
+    assert stamp() == before and all(s == {"one", "two"} for s in seen) and len(seen) > 3
+    assert {r["repo"] for r in store.table("files").collect()} == {"one", "two"} and {r["repo"] for r in store.table("files", "two").collect()} == {"two"}
+    store.views("at_")
+    assert spark.sql("SELECT count(DISTINCT repo) AS n FROM at_files").first()["n"] == 2
+    assert store.gc() == 1 and store.table("symbols", "one").where("name = 'more'").count() == 1
+
+
+def test_one_watcher(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    store.claim("r", 60)
+    assert store.watched("r")
+    with pytest.raises(RuntimeError):
+        store.claim("r", 60)
+    time.sleep(0.05)
+    store.claim("r", 0.01)
+    store.release("r")
+    assert not store.watched("r")
+
+
+def test_branches_and_registry_paths(tmp_path):
+    from srcatlas.sources.snapshot import from_registry, git_branch, to_registry
+
+    assert git_branch(str(tmp_path)) is None
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/feat/A b\n")
+    assert git_branch(str(tmp_path)) == "feat-a-b"
+    (tmp_path / ".git/HEAD").write_text("0" * 40)
+    assert git_branch(str(tmp_path)) is None
+    work = str(tmp_path)
+    for path, want in ((f"{work}/a/b", "./a/b"), (work, "."), (str(tmp_path.parent), "..")):
+        assert to_registry(path, work) == want and from_registry(want, work) == path
+    assert to_registry("/x/y") == "/x/y" == from_registry("/x/y", work)
+
+
+def test_listing_reads_nothing_it_skips(spark, tree):
+    """Skipped folders aren't read, names with marks are taken as they are."""
+    (tree / "we[i]rd {x}.py").write_text("def weird(): pass\n")
+    got = {r["path"]: bytes(r["content"]) for r in scan.scan_tree(spark, str(tree), "r").collect()}
+    assert got["we[i]rd {x}.py"].startswith(b"def weird") and got["pkg/__init__.py"] == b"VALUE = 1\n" and "node_modules/x.js" not in got
+    scan_plan = scan.list_tree(spark, str(tree), "r")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan_plan
