@@ -411,3 +411,6 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> pack.Index:
 @query()
 def context_pack(spark, sf_dir):
     return pack.context_pack(corpus_index(spark, sf_dir), "licensed work", token_budget=2000).drop("quality")
+
+
+from srcatlas.plans import extraction  # noqa: E402, F401  registers its queries here
