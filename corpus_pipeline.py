@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.lineage import shared_folder
 from srcatlas.llm import decontaminate, jaccard, langid, mixing, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,7 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component of texts whose five-word shingles are similar by 0.8 at least."""
+    """Keeps the document of the smallest id of each component of texts whose five-word shingles are similar by 0.8 at least.
+
+    SimHash finds the closest texts, bands of minimum hashes those that are too far apart
+    for its fingerprints, and the exact similarity decides.
+    """
     _bounded(spark)
     return jaccard.keep_one(docs.select(*COLUMNS))
 
@@ -53,8 +57,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which it takes copies, with their number."""
-    return mixing.mix(docs.select(*COLUMNS)).where("copies > 0").drop("rate")
+    """The mix: documents of which it takes copies, with their number; languages keep their shares as far as the sources allow."""
+    return mixing.mix(docs.select(*COLUMNS), cell="lang").where("copies > 0").drop("rate")
 
 
 STAGES = [
@@ -65,17 +69,35 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Fingerprints, language models and boosted trees can't be said in SQL; tests hold the stages against brute force.
+#: Fingerprints, language models and boosted trees can't be said in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result lies in a folder of its own under spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid4().hex}"
+    """All stages over documents.
+
+    Each result lies in a folder of its own under spark.checkpoint.dir and goes once the
+    next is written; the last one stays, as the rows returned are read from it. The
+    session's options are afterwards as they were before.
+    """
+    options = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {o: spark.conf.get(o) for o in options}
+    base, last = f"{shared_folder(spark)}/pipeline-{uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        at = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            at = f"{base}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(at)
+            docs = spark.read.parquet(at)
+            if last is not None:
+                _delete(spark, last)
+            last = at
+    finally:
+        for option, value in before.items():
+            spark.conf.set(option, value)
     return docs
