@@ -10,7 +10,6 @@ all of them.
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,6 @@ from srcatlas.llm.simhash import BITS, bits_set, links, majority, shingle_hashes
 
 #: Bands of so many minimum hashes each. Two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, 2e-13 at 0.9.
 BANDS, ROWS = 32, 5
-#: So many members of a crowded band are compared with all of its members before the rest is paired.
-PIVOTS = 4
-
 _ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,12 +113,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     components of ``distance`` bits are verified: a set as similar to the least of its
     component gets that one's label, which settles large groups in proportion to their
     size. Then sets of different labels that share a band are compared. Under a band that
-    more than ``dense`` sets share, all are first compared with a few of them, and then
-    every two that are not connected yet.
+    more than ``dense`` sets share, all that are not connected with it yet are compared
+    with one of them, in three rounds: with the same one wherever it stands, then with
+    other ones band by band. After that every two that are still not connected are.
     """
     sets = _Sets(docs, doc_id, text, Fraction(str(similarity)), shingle, seed)
     # 1: SimHash
-    near = components(links(sets.sets, distance), "x", "y").withColumnRenamed("node", "fp")
+    near = components(links(sets.sets, distance, whole=False), "x", "y").withColumnRenamed("node", "fp")
     grouped = sets.sets.select("sid", "size", "fp").join(near, "fp", "left").select("sid", "size", F.coalesce("label", "fp").alias("g"))
     grouped = cut(grouped)
     heads = cut(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"))
@@ -136,22 +133,24 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     some = cut(keys.join(cut(shared), "key"))
     crowded = cut(some.where(f"n > {dense}"))
     pairs = _across(some.where(f"n <= {dense}"), sets)
-    if not crowded.isEmpty():
-        pivots = cut(crowded.groupBy("key").agg(*[F.min_by(F.struct("sid", "size", "label"), F.xxhash64("sid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]))
-        each = [pivots.select("key", F.col(f"p{i}.sid").alias("p"), F.col(f"p{i}.size").alias("m"), F.col(f"p{i}.label").alias("c")) for i in range(PIVOTS)]
-        pivots = cut(reduce(DataFrame.union, each).distinct())
-        star = crowded.join(pivots, "key").where(f"sid != p AND label != c AND {sets.fitting('size', 'm')}")
-        pairs = pairs.union(cut(star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct()))
     linked = cut(linked.union(sets.similar(cut(pairs.distinct()))))
     found = components(linked, "x", "y")
-    if not crowded.isEmpty():
+    for pick in (F.xxhash64("sid"), F.xxhash64("sid", "key"), F.xxhash64("key", "sid"), None):
         named = crowded.drop("label").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         named = cut(named)
         parted = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-        rest = cut(_across(named.join(parted, "key", "left_semi"), sets).distinct())
-        if not rest.isEmpty():
-            linked = cut(linked.union(sets.similar(rest)))
-            found = components(linked, "x", "y")
+        crowded = cut(named.join(parted, "key", "left_semi"))
+        if crowded.isEmpty():
+            break
+        if pick is not None:
+            pivots = cut(crowded.groupBy("key").agg(F.min_by(F.struct("sid", "size", "label"), pick).alias("p")))
+            pivots = pivots.select("key", F.col("p.sid").alias("p"), F.col("p.size").alias("m"), F.col("p.label").alias("c"))
+            star = crowded.join(pivots, "key").where(f"label != c AND {sets.fitting('size', 'm')}")
+            more = cut(star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct())
+        else:
+            more = cut(_across(crowded, sets).distinct())
+        linked = cut(linked.union(sets.similar(more)))
+        found = components(linked, "x", "y")
     done = sets.marked.select("__row", "doc_id", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left")
     return done.select("__row", "doc_id", F.coalesce("label", "sid").alias("label"))
 

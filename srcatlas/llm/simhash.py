@@ -73,7 +73,7 @@ def blocks_for(distance: int, blocks: int | None = None, rows: int = 0) -> list[
     few share a key by chance however many they are.
     """
     if blocks is None:
-        blocks = distance + 2
+        blocks = distance + 3
         while blocks < 2 * distance + 4 and BITS * (blocks - distance) // blocks < max(rows, 1).bit_length() + 3:
             blocks += 1
     if blocks <= distance:
@@ -97,7 +97,7 @@ def _close(distance: int):
     return F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: int = 24) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: int = 24, whole: bool = True) -> DataFrame:
     """Pairs (x, y), x < y, that connect all distinct ``fp`` within ``distance`` bits.
 
     Fingerprints that share a key of the pigeonhole blocks are joined and verified, for
@@ -107,7 +107,8 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: i
     ceil(d / 2) bits from both, so each lists all points of that radius around it, and
     those that list the same point (they are all within d of one another) are linked to
     the least of them. That is linear in the size of the group too, and links the same
-    components as all pairs would.
+    components as all pairs would. Without ``whole``, for callers that find the rest by
+    other means, fingerprints of a fuller key are only compared with the least of it.
     """
     fps = cut(fps.select("fp").distinct())
     choices = blocks_for(distance, blocks, fps.count())
@@ -118,7 +119,11 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: i
     some = cut(some)
     left, right = some.withColumnRenamed("fp", "x"), some.withColumnRenamed("fp", "y")
     pairs = left.join(right, (left.choice == right.choice) & (left.key == right.key) & (F.col("x") < F.col("y")) & _close(distance)).select("x", "y")
-    crowded = cut(keys.join(counts.where(f"n > {dense}").select("choice", "key"), ["choice", "key"]).select("fp").distinct())
+    full = counts.where(f"n > {dense}")
+    if not whole:
+        star = keys.join(full.select("choice", "key", "x"), ["choice", "key"]).select("x", F.col("fp").alias("y"))
+        return twos.union(pairs).union(star.where((F.col("x") != F.col("y")) & _close(distance))).distinct()
+    crowded = cut(keys.join(full.select("choice", "key"), ["choice", "key"]).select("fp").distinct())
     return twos.union(pairs).union(_by_midpoint(crowded, distance)).distinct()
 
 
