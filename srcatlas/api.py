@@ -186,9 +186,26 @@ class Atlas:
         repo = self._known(repo)
         if not query or not query.strip():
             raise AtlasError(400, "invalid_request", "the query is empty")
+        return self._pack(repo, query, token_budget, include, exclude)[0]
+
+    def context_pack_header(self, repo: str, query: str, token_budget: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> dict:
+        """Budget, quality summary, warnings and hint of the pack with the same arguments."""
+        repo = self._known(repo)
+        rows, warnings, embedded = self._pack(repo, query, token_budget, include, exclude)
+        return pack.header(rows, repo, query, token_budget, warnings, embedded, self.get_index_status(repo).first()["stale"])
+
+    def _pack(self, repo: str, query: str, token_budget, include, exclude) -> tuple[DataFrame, list[str], bool]:
         index = pack.Index(self.sources(repo), *[self._table(t, repo) for t in ("symbols", "edges", "routes")])
-        embedded = self.embedder is not None and not self._table("symbols", repo).where("embedding IS NOT NULL").isEmpty()
-        return pack.context_pack(index, query, token_budget, include, exclude, vector=for_query(self.embedder, query) if embedded else None)
+        wanted, warnings = pack.filters(include, exclude)
+        embedded, vector = not self._table("symbols", repo).where("embedding IS NOT NULL").isEmpty(), None
+        if embedded and self.embedder is not None:
+            try:
+                vector = for_query(self.embedder, query)
+            except Exception as e:  # noqa: BLE001  whatever an embedder raises, the pack goes without it
+                warnings.append(f"semantic search failed: {e}")
+        elif "semantic" in wanted:
+            warnings.append("semantic search skipped: " + ("no embedder is set" if embedded else "repo has no embeddings"))
+        return pack.context_pack(index, query, token_budget, include, exclude, vector=vector), warnings, embedded
 
     # ---- statistics
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +112,44 @@ def search_routes(routes: DataFrame, repo: str | None = None, method: str | None
     return found.orderBy("file", "start_byte", "method", "path", "handler").limit(limit)
 
 
+def _first_by_term(found: DataFrame, order: list, limit: int) -> DataFrame:
+    """Of each term's rows (column ord) the first ``limit`` by a total order."""
+    w = Window.partitionBy("ord").orderBy(*order)
+    return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit)
+
+
+def symbols_by_term(symbols: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """search_symbols for several terms in one scan; ``ord`` is the term's place."""
+    rank = lambda t: F.when(fn.like("name", t, False), 0).when(fn.like("name", t, True), 1)
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), rank(t).alias("__rank")) for i, t in enumerate(terms)])
+    found = symbols.withColumn("__t", F.explode(F.filter(each, lambda x: x["__rank"].isNotNull()))).select(*symbols.columns, "__t.*")
+    top = _first_by_term(found, ["__rank", *SYMBOL_ORDER], limit)
+    least = F.min("__rank").over(Window.partitionBy("ord"))
+    return top.withColumn("__least", least).where("__rank = __least").drop("__rank", "__least", "__n")
+
+
+def text_by_term(files: DataFrame, terms: list[str], per_file: int = 5, enough: int = 100, text: str = "content") -> DataFrame:
+    """search_text for several terms in one scan; only lines that count are shuffled."""
+    lower = F.lower(F.col(text).cast("string"))
+    some = files.where(reduce(lambda a, b: a | b, [lower.contains(t.lower()) for t in terms]))
+    lines = F.transform(F.split(F.col(text).cast("string"), "\r\n|\r|\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text"), F.lower(x).alias("lower")))
+    split = some.select("repo", F.col("path").alias("file"), lines.alias("__lines"))
+    kept = lambda t: F.transform(F.slice(F.filter("__lines", lambda s: s["lower"].contains(t.lower())), 1, per_file), lambda s: F.struct(s["line"].alias("line"), fn.rstrip(s["text"]).alias("text")))
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), kept(t).alias("hits")) for i, t in enumerate(terms)])
+    found = split.select("repo", "file", F.explode(each).alias("t")).select("repo", "file", "t.ord", "t.hits").where(F.size("hits") > 0)
+    first = _first_by_term(found, ["file", "repo"], enough)
+    before = F.sum(F.size("hits")).over(Window.partitionBy("ord").orderBy("file", "repo").rowsBetween(Window.unboundedPreceding, -1))
+    some = first.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < enough)
+    return some.select("ord", "repo", "file", F.explode("hits").alias("h")).select("ord", "repo", "file", "h.line", "h.text")
+
+
+def routes_by_term(routes: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """search_routes by path for several terms in one scan."""
+    each = F.array(*[F.when(fn.like("path", t, True), F.lit(i)) for i, t in enumerate(terms)])
+    found = routes.withColumn("ord", F.explode(F.filter(each, lambda x: x.isNotNull())))
+    return _first_by_term(found, ["file", "start_byte", "method", "path", "handler"], limit).drop("__n")
+
+
 def dot(vector: Column, query: list[float]) -> Column:
     """The inner product in double precision."""
     literal = F.array(*[F.lit(float(x)) for x in query])

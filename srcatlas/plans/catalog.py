@@ -65,10 +65,10 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from a user to the next of the same value's hour among errors."""
+    """Edges from a user to the user of the next event of the same hour."""
     from pyspark.sql.window import Window
 
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = table(spark, sf_dir, "events")
     hour = F.date_trunc("hour", "ts")
     nxt = F.lead("user_id").over(Window.partitionBy(hour).orderBy("ts", "event_id"))
     return e.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
@@ -78,7 +78,7 @@ _PART = "(SELECT p_partkey AS symbol_id, p_brand AS repo, p_brand || '/' || p_ty
 _FILES = "(SELECT 'corpus' AS repo, source || '/' || doc_id || '.txt' AS path, text AS content, doc_id FROM documents)"
 _ROUTES = "(SELECT 'web' AS repo, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS file, ['GET', 'POST', 'PUT'][page_id % 3 + 1] AS method, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, '' AS handler, page_id AS start_byte, page_id + length(url) AS end_byte FROM pages)"
 _EDGES = "(SELECT s_suppkey AS caller_id, 'orders' AS repo, 'supplier/' || s_suppkey AS caller_file, s_name AS caller_name, p_name AS callee_name, 'part/' || p_brand AS callee_file FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
-_GRAPH = "(SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error') WHERE dst IS NOT NULL)"
+_GRAPH = "(SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
 _LINES = r"regexp_split_to_array(content, '\r\n|\r|\n')"
 
 SYMBOL_COLUMNS = ["symbol_id", "repo", "file", "name", "kind", "start_byte", "end_byte"]
@@ -230,12 +230,31 @@ def cycle_self_loops(spark, sf_dir):
     return graph.cycles(user_graph(spark, sf_dir).where("src = dst"))
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM {_GRAPH}),
-p(path, nxt, n) AS (SELECT [src], dst, 1 FROM g WHERE src <= dst
+@query(f"""WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM {_GRAPH} WHERE src <> dst),
+p(path, nxt, n) AS (SELECT [src], dst, 1 FROM g WHERE src < dst
   UNION ALL SELECT list_append(path, nxt), dst, n + 1 FROM p JOIN g ON src = nxt WHERE n < 3 AND nxt > path[1] AND dst >= path[1] AND (dst = path[1] OR NOT list_contains(list_append(path, nxt), dst)))
 SELECT list_append(path, nxt) AS cycle, CAST(n AS BIGINT) AS length FROM p WHERE nxt = path[1] ORDER BY n, cycle LIMIT 20""")
 def cycles_capped(spark, sf_dir):
-    return graph.cycles(user_graph(spark, sf_dir), most_length=3)
+    """The first 20 cycles of any length; the tables hold so many of length 2 and 3, beyond which the SQL need not look."""
+    return graph.cycles(user_graph(spark, sf_dir).where("src <> dst"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 100 FROM nation),
+p(path, nxt) AS (SELECT [src], dst FROM g UNION ALL SELECT list_append(path, nxt), dst FROM p JOIN g ON src = nxt WHERE nxt > path[1] AND dst >= path[1] AND (dst = path[1] OR NOT list_contains(list_append(path, nxt), dst)))
+SELECT list_append(path, nxt) AS cycle, CAST(len(path) AS BIGINT) AS length FROM p WHERE nxt = path[1]""")
+def cycle_of_25(spark, sf_dir):
+    """One ring of all nations, each with an edge out of it."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    return graph.cycles(n.withColumn("dst", (F.col("src") + 1) % 25).unionByName(n.withColumn("dst", F.col("src") + 100)))
+
+
+#: Every node with every node it reaches.
+_CLOSURE = f"g AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_GRAPH} WHERE src % 3 = 0 OR dst % 7 = 0), r(a, b) AS (SELECT src, dst FROM g UNION SELECT a, dst FROM r JOIN g ON b = src)"
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_graph without most edges between nodes that neither 3 nor 7 divides, so that not all is one part."""
+    return user_graph(spark, sf_dir).where("src % 3 = 0 OR dst % 7 = 0")
 
 
 @query(f"SELECT node, count(*) AS n FROM (SELECT src AS node FROM {_GRAPH} UNION ALL SELECT dst FROM {_GRAPH}) GROUP BY node ORDER BY n DESC, node LIMIT 50")
@@ -243,9 +262,17 @@ def node_frequency_top50(spark, sf_dir):
     return graph.node_frequency(user_graph(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSURE}, c AS (SELECT DISTINCT a AS n FROM r WHERE a = b),
+f AS (SELECT n FROM c UNION SELECT b FROM r JOIN c ON a = n), t AS (SELECT n FROM c UNION SELECT a FROM r JOIN c ON b = n)
+SELECT src, dst FROM g WHERE src IN (SELECT n FROM f) AND dst IN (SELECT n FROM t)""")
 def cycle_core(spark, sf_dir):
-    return graph.cyclic_core(user_graph(spark, sf_dir))
+    return graph.cyclic_core(part_graph(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_CLOSURE}, m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS part FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT src, dst, p.part FROM g JOIN m p ON src = p.node JOIN m q ON dst = q.node WHERE p.part = q.part""")
+def strong_components(spark, sf_dir):
+    return graph.strong_components(part_graph(spark, sf_dir))
 
 
 @query(f"""WITH s AS (SELECT string_split(path, '/') AS p FROM {_FILES}), x AS (SELECT p, unnest(range(1, least(len(p), 3) + 1)) AS level FROM s)
@@ -254,12 +281,35 @@ def directory_tree(spark, sf_dir):
     return graph.file_tree(document_files(spark, sf_dir))
 
 
-@query()
-def graph_diagram(spark, sf_dir):
-    found = graph.diagram(line_edges(spark, sf_dir))
+def _diagram_sql(edges: str, color: str, cyclic: bool) -> str:
+    arrow, style = ("-->|cycle|", " || coalesce((SELECT string_agg(chr(10) || '    linkStyle ' || k || ' stroke:red', '' ORDER BY k) FROM l), '')") if cyclic else ("-->", "")
+    return f"""WITH e AS {edges}, f AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) WHERE node IS NOT NULL GROUP BY node ORDER BY n DESC, node LIMIT 51),
+k AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT * FROM f ORDER BY n DESC, node LIMIT 50)),
+l AS (SELECT x, y, row_number() OVER (ORDER BY src, dst) - 1 AS k FROM (SELECT DISTINCT src, dst, a.i AS x, b.i AS y FROM e JOIN k a ON src = a.node JOIN k b ON dst = b.node WHERE src <> dst))
+SELECT 'graph LR' || (SELECT string_agg(chr(10) || '    n' || i || '["' || regexp_extract(node, '[^/]*$') || '"]', '' ORDER BY i) FROM k)
+ || coalesce((SELECT string_agg(chr(10) || '    n' || x || ' {arrow} n' || y, '' ORDER BY k) FROM l), ''){style}
+ || (SELECT string_agg(chr(10) || '    style n' || i || ' fill:{color}', '' ORDER BY i) FROM k) AS diagram,
+(SELECT count(*) FROM k) AS node_count, (SELECT count(*) FROM l) AS edge_count, (SELECT count(*) FROM f) > 50 AS truncated"""
+
+
+def _diagram(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    found = graph.diagram(edges)
     return spark.createDataFrame([(found["diagram"], found["node_count"], found["edge_count"], found["truncated"])], "diagram string, node_count long, edge_count long, truncated boolean")
 
 
+@query(_diagram_sql(f"(SELECT caller_file AS src, callee_file AS dst FROM {_EDGES})", "#cccccc", False))
+def graph_diagram(spark, sf_dir):
+    return _diagram(spark, line_edges(spark, sf_dir))
+
+
+@query(_diagram_sql("(SELECT 'n/' || n_name || '.py' AS src, (SELECT 'n/' || m.n_name || '.py' FROM nation m WHERE m.n_nationkey = (n.n_nationkey + 1) % 25) AS dst FROM nation n)", "#3572A5", True))
+def graph_diagram_cycle(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    file = lambda c: F.concat(F.lit("n/"), c, F.lit(".py"))
+    after = n.select(((F.col("n_nationkey") + 24) % 25).alias("k"), file(F.col("n_name")).alias("callee_file"))
+    return _diagram(spark, n.join(after, F.col("n_nationkey") == F.col("k")).select(file(F.col("n_name")).alias("caller_file"), "callee_file"))
+
+
 # ---- statistics
 
 
@@ -273,13 +323,13 @@ def fan_out_top5(spark, sf_dir):
     return stats.fan_out(line_edges(spark, sf_dir))
 
 
-@query("SELECT p_name AS path FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = 1)")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = d.doc_id)")
 def orphans(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    files = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.col("p_partkey").cast("string").alias("path"), "p_name")
-    symbols = li.where("l_quantity > 49").select(F.lit("r").alias("repo"), F.col("l_partkey").cast("string").alias("file"))
-    edges = li.where("l_suppkey = 1").select(F.lit("r").alias("repo"), F.col("l_partkey").cast("string").alias("callee_file"))
-    return stats.orphans(files, symbols, edges).select(F.col("p_name").alias("path"))
+    """Labels stand for the files' symbols, conversations for the edges to them."""
+    files = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), F.col("doc_id").cast("string").alias("path"), "doc_id")
+    symbols = table(spark, sf_dir, "labels").select(F.lit("r").alias("repo"), F.col("doc_id").cast("string").alias("file"))
+    edges = table(spark, sf_dir, "conversations").select(F.lit("r").alias("repo"), F.col("conv_id").cast("string").alias("callee_file"))
+    return stats.orphans(files, symbols, edges).select("doc_id")
 
 
 @query(f"SELECT 'orders' AS repo, count(*) AS edge_count FROM {_EDGES} WHERE caller_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -288,11 +338,11 @@ def edge_count(spark, sf_dir):
     return stats.edge_count(line_edges(spark, sf_dir), s)
 
 
-@query("""SELECT source AS repo, count(DISTINCT doc_id) AS file_count, coalesce(CAST(sum(n_chars) AS BIGINT), 0) AS lines_of_code, count(*) AS symbol_count, count(*) FILTER (lang = 'en') AS functions, count(*) FILTER (lang = 'fr') AS classes, count(*) FILTER (lang = 'de') AS methods, 0 AS constants, 0 AS variables, count(*) FILTER (doc_id % 7 = 0) AS route_count FROM documents GROUP BY source""")
+@query("""SELECT source AS repo, count(DISTINCT doc_id) AS file_count, coalesce(CAST(sum(n_chars) AS BIGINT), 0) AS lines_of_code, count(*) AS symbol_count, count(*) FILTER (lang = 'en') AS functions, count(*) FILTER (lang = 'fr') AS classes, count(*) FILTER (lang = 'de') AS methods, 0 AS constants, 0 AS variables, (SELECT count(*) FROM labels l JOIN documents o USING (doc_id) WHERE o.source = d.source) AS route_count FROM documents d GROUP BY source""")
 def repo_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumnRenamed("source", "repo")
     kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "fr", "class").when(F.col("lang") == "de", "method")
-    return stats.repo_summary(d.select("repo", F.col("doc_id").alias("path"), F.col("n_chars").alias("line_count")), d.select("repo", kind.alias("kind")), d.where("doc_id % 7 = 0").select("repo"))
+    return stats.repo_summary(d.select("repo", F.col("doc_id").alias("path"), F.col("n_chars").alias("line_count")), d.select("repo", kind.alias("kind")), table(spark, sf_dir, "labels").join(d, "doc_id").select("repo"))
 
 
 @query("SELECT p_type AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -337,13 +387,16 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, text FROM documents WHERE contains(text, 'Licensed')), a AS (SELECT count(*) AS files_searched, CAST(sum({_LOC}) AS BIGINT) AS lines_searched, CAST(ceil((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS tokens_without FROM r),
-b AS (SELECT CAST(ceil((sum(least(20, length(text))) + count(*) - 1) / 4) AS BIGINT) AS tokens_with FROM r)
+@query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS text, unnest(range(1, len({_LINES}) + 1)) AS line FROM {_FILES}),
+h AS (SELECT doc_id, rtrim(text) AS text FROM (SELECT * FROM l WHERE contains(lower(text), 'licensed') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 5)),
+r AS (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM h)), a AS (SELECT count(*) AS files_searched, CAST(sum({_LOC}) AS BIGINT) AS lines_searched, CAST(ceil((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS tokens_without FROM r),
+b AS (SELECT CAST(ceil((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS tokens_with FROM h)
 SELECT *, greatest(0, tokens_without - tokens_with) AS tokens_saved, true AS approximate FROM a, b""")
 def search_roi(spark, sf_dir):
+    """What the lines with a word take, against reading their files."""
     files = document_files(spark, sf_dir)
-    results = files.where("contains(content, 'Licensed')").select("repo", F.col("path").alias("file"), F.substring("content", 1, 20).alias("text"))
-    return stats.search_savings(results, files)
+    found = search.hits_by_file(files, "licensed").select("repo", F.col("path").alias("file"), F.explode("hits").alias("h")).select("repo", "file", "h.text")
+    return stats.search_savings(found, files)
 
 
 _WEBPATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -378,39 +431,71 @@ def last_wins_upsert(spark, sf_dir):
     return upsert.last_wins(table(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn"])
 
 
-@query("""SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0 UNION ALL SELECT doc_id, source, n_chars + 1 FROM documents WHERE doc_id % 6 = 0""")
+@query("""SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 6 <> 0 UNION ALL SELECT doc_id, source, n_chars + 1 FROM documents WHERE doc_id % 6 = 0""")
 def snapshot_replace(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.lit("r").alias("repo"), F.col("doc_id").alias("path"))
     new = d.where("doc_id % 6 = 0").withColumn("n_chars", F.col("n_chars") + 1)
-    return upsert.replace_rows(d.where("doc_id % 2 = 0"), new, new.select("repo", "path"), "path").select("doc_id", "source", "n_chars")
+    return upsert.replace_rows(d, new, new.select("repo", "path"), "path").select("doc_id", "source", "n_chars")
 
 
 # ---- the pack
 
 
-@query("""WITH c AS (SELECT doc_id AS n, CAST(ceil(length(text) / 4) AS BIGINT) AS t FROM documents ORDER BY doc_id LIMIT 50),
+@query("""WITH c AS (SELECT doc_id AS n, CAST(ceil(length(text) / 4) AS BIGINT) AS t FROM documents),
 f AS (SELECT list_reduce(list_prepend({'u': CAST(0 AS BIGINT), 'k': [CAST(-1 AS BIGINT)], 'n': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT)}, list({'u': CAST(0 AS BIGINT), 'k': [CAST(-1 AS BIGINT)], 'n': n, 't': t} ORDER BY n)),
  lambda a, x: CASE WHEN a.u + x.t <= 900 THEN {'u': a.u + x.t, 'k': list_append(a.k, x.n), 'n': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT)}
   WHEN len(a.k) = 1 THEN {'u': a.u + 5, 'k': list_append(a.k, x.n), 'n': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT)} ELSE a END).k AS k FROM c)
 SELECT n, t AS tokens, list_contains(k, n) AS kept FROM c, f""")
 def context_pack_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").orderBy("doc_id").limit(50).select(F.col("doc_id").alias("n"), fn.token_estimate(F.col("text")).alias("tokens"), F.lit(5).cast("long").alias("outline_tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), fn.token_estimate(F.col("text")).alias("tokens"), F.lit(5).cast("long").alias("outline_tokens"))
     return pack.choose(d, 900).select("n", "tokens", (F.col("state") != "omitted").alias("kept"))
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> pack.Index:
-    """Documents as files with their first word as a symbol that calls their second; pages as routes."""
+    """Documents as files with their first word as a symbol that calls their second; pages as routes. A symbol's span is the first line, 40 characters at most."""
     files = document_files(spark, sf_dir)
-    words = F.regexp_extract_all("content", F.lit(r"\p{L}+"), F.lit(0))
-    first = files.withColumn("w", words).withColumn("head", F.octet_length(F.substring_index("content", "\n", 1)).cast("long"))
-    symbols = first.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), F.try_element_at("w", F.lit(1)).alias("name"), F.lit("function").alias("kind"), F.lit(0).cast("long").alias("start_byte"), F.col("head").alias("end_byte"))
-    edges = first.select(F.col("doc_id").alias("caller_id"), "repo", F.col("path").alias("caller_file"), F.try_element_at("w", F.lit(1)).alias("caller_name"), F.try_element_at("w", F.lit(2)).alias("callee_name"), F.lit(None).cast("string").alias("callee_file"))
-    return pack.Index(files, symbols, edges, page_routes(spark, sf_dir))
-
-
-@query()
+    word = lambda i: F.try_element_at(F.regexp_extract_all("content", F.lit(r"\p{L}+"), F.lit(0)), F.lit(i))
+    head = F.octet_length(F.substring(F.substring_index("content", "\n", 1), 1, 40)).cast("long")
+    symbols = files.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), word(1).alias("name"), F.lit("function").alias("kind"), F.lit(0).cast("long").alias("start_byte"), head.alias("end_byte"))
+    calls = files.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), word(1).alias("caller_name"), word(2).alias("callee_name"))
+    return pack.Index(files, symbols, graph.resolve_calls(calls, symbols), page_routes(spark, sf_dir))
+
+
+_TERMS = "(VALUES (0, 'licensed'), (1, 'on'))"
+_CUT = "CASE WHEN strlen(content) <= 3000 THEN content ELSE coalesce(TRY(decode(encode(content)[1:3000])), TRY(decode(encode(content)[1:2999]) || chr(65533)), decode(encode(content)[1:2998]) || chr(65533)) END"
+
+
+@query(rf"""WITH t(ord, term) AS {_TERMS}, fi AS (SELECT * FROM {_FILES}), w AS (SELECT *, regexp_extract_all(content, '\p{{L}}+') AS w FROM fi),
+sy AS (SELECT doc_id AS symbol_id, repo, path AS file, w[1] AS name, 0 AS s, strlen(substr(split_part(content, chr(10), 1), 1, 40)) AS e, substr(split_part(content, chr(10), 1), 1, 40) AS head FROM w),
+de AS (SELECT name, min(file) AS callee_file FROM sy GROUP BY name),
+ed AS (SELECT DISTINCT doc_id AS caller_id, w[1] AS caller_name, w[2] AS callee_name, callee_file FROM w LEFT JOIN de ON de.name = w[2]),
+sr AS (SELECT ord, sy.*, CASE WHEN name ILIKE term || '%' THEN 0 WHEN name ILIKE '%' || term || '%' THEN 1 END AS k FROM sy, t),
+st AS (SELECT * FROM sr WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ord ORDER BY k, repo, file, s, name, symbol_id) <= 8),
+sh AS (SELECT * FROM st QUALIFY k = min(k) OVER (PARTITION BY ord)),
+li AS (SELECT repo, path AS file, unnest({_LINES}) AS text, unnest(range(1, len({_LINES}) + 1)) AS line FROM fi),
+th AS (SELECT ord, repo, file, line, rtrim(text) AS text FROM li, t WHERE contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY ord, file ORDER BY line) <= 5),
+tn AS (SELECT ord, file, coalesce(sum(n) OVER (PARTITION BY ord ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT ord, file, count(*) AS n FROM th GROUP BY ord, file)),
+tk AS (SELECT th.* FROM th JOIN tn USING (ord, file) WHERE b < 100),
+ro AS (SELECT ord, r.* FROM {_ROUTES} r, t WHERE path ILIKE '%' || term || '%' QUALIFY row_number() OVER (PARTITION BY ord ORDER BY file, start_byte, method, path, handler) <= 20),
+nm AS (SELECT name FROM sh GROUP BY name ORDER BY min((ord, file, s)), name LIMIT 5),
+ne AS (SELECT DISTINCT sy.repo, sy.file, sy.s, sy.e, 'caller of ' || callee_name AS title, sy.name AS key, sy.head AS src FROM ed JOIN nm ON callee_name = nm.name JOIN sy ON symbol_id = caller_id
+  UNION SELECT 'corpus', callee_file, 0, 0, 'callee of ' || caller_name, callee_name, {_CUT} FROM ed JOIN nm ON caller_name = nm.name JOIN fi ON path = callee_file),
+ca AS (SELECT 'symbol' AS type, 100.0::DOUBLE AS rank, repo, file, s, e, NULL::BIGINT AS line, name AS title, name AS key, head AS src, ord FROM sh
+  UNION ALL SELECT CASE WHEN starts_with(file, 'docs/') THEN 'doc' ELSE 'text' END, CASE WHEN starts_with(file, 'docs/') THEN 60.0 ELSE 90.0 END, repo, file, NULL, NULL, line, file, substr(text, 1, 24), text, ord FROM tk
+  UNION ALL SELECT 'route', 85.0, repo, file, start_byte, end_byte, NULL, method || ' ' || path, path, '', ord FROM ro
+  UNION ALL SELECT 'graph_neighbor', 65.0, repo, file, s, e, NULL, title, key, src, 0 FROM ne),
+ii AS (SELECT *, type || ':' || file || ':' || coalesce(CAST(s AS VARCHAR), CAST(line AS VARCHAR), '') || ':' || coalesce(CAST(e AS VARCHAR), '') || ':' || key AS id, CAST(ceil(length(src) / 4) AS BIGINT) AS tok, type || ' ' || title || ' in ' || file AS outline FROM ca),
+dd AS (SELECT * FROM ii QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY rank DESC, ord, title) = 1),
+nn AS (SELECT *, row_number() OVER (ORDER BY rank DESC, file, coalesce(s, 0), coalesce(line, 0), title, repo, id) AS n, CAST(ceil(length(outline) / 4) AS BIGINT) AS ot FROM dd),
+fo AS (SELECT list_reduce(list_prepend({{'u': 0::BIGINT, 'k': [-1::BIGINT], 'o': -1::BIGINT, 'n': 0::BIGINT, 't': 0::BIGINT, 'ot': 0::BIGINT}}, list({{'u': 0::BIGINT, 'k': [-1::BIGINT], 'o': -1::BIGINT, 'n': n, 't': tok, 'ot': ot}} ORDER BY n)),
+  lambda a, x: CASE WHEN a.u + x.t <= 1800 THEN {{'u': a.u + x.t, 'k': list_append(a.k, x.n), 'o': a.o, 'n': 0::BIGINT, 't': 0::BIGINT, 'ot': 0::BIGINT}}
+   WHEN len(a.k) = 1 THEN {{'u': a.u + least(x.ot, 1800), 'k': list_append(a.k, x.n), 'o': x.n, 'n': 0::BIGINT, 't': 0::BIGINT, 'ot': 0::BIGINT}} ELSE a END) AS f FROM nn)
+SELECT n, type, id, repo, file, title, rank AS rank_score, tok AS estimated_tokens, CASE WHEN n = f.o THEN least(ot, 1800) WHEN list_contains(f.k, n) THEN tok ELSE 0 END AS used_tokens,
+CASE WHEN n = f.o THEN 'outlined' WHEN list_contains(f.k, n) THEN 'selected' ELSE 'omitted' END AS state,
+CASE WHEN list_contains(f.k, n) THEN CASE type WHEN 'symbol' THEN 'symbols' WHEN 'route' THEN 'routes' WHEN 'graph_neighbor' THEN 'graph_neighbors' WHEN 'doc' THEN 'docs' END END AS bucket,
+CASE WHEN n = f.o THEN outline ELSE src END AS source FROM nn, fo""")
 def context_pack(spark, sf_dir):
-    return pack.context_pack(corpus_index(spark, sf_dir), "licensed work", token_budget=2000).drop("quality")
+    return pack.context_pack(corpus_index(spark, sf_dir), "licensed on", token_budget=2000).drop("quality")
 
 
 from srcatlas.plans import extraction  # noqa: E402, F401  registers its queries here

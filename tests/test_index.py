@@ -135,6 +135,12 @@ def test_pack(spark, tree, tmp_path):
     assert pack.limits(0) == (6000, 600, 5400) and pack.limits(-4) == (1, 1, 1)
     with pytest.raises(AtlasError):
         atlas.build_context_pack("shop", "  ")
+    head = atlas.context_pack_header("shop", "checkout", 30, include="routes, typo")
+    assert head["warnings"] == ["unknown include filter ignored: typo"] and head["budget"]["available_tokens"] == 27 and head["quality_summary"]["item_count"] >= 1
+    head = atlas.context_pack_header("shop", "checkout", 30)
+    assert head["warnings"] == ["semantic search skipped: repo has no embeddings"] and head["quality_summary"]["index_fresh"] and "omitted" in head["agent_hint"]
+    plan = atlas.build_context_pack("shop", "checkout", include=["symbols"])
+    assert {r["type"] for r in plan.collect()} == {"symbol"}
 
 
 def test_watch(spark, tree, tmp_path):
