@@ -80,22 +80,24 @@ def _once(pattern: str) -> str:
     return pattern.replace("(.*?)", ".*?")
 
 
+def _back(turns: Column) -> Column:
+    """Turns of an escaped conversation as they were meant."""
+    return F.transform(turns, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+
+
 def parse(formatted: Column) -> Column:
     """The (role, text) turns that a reader gets from a formatted conversation."""
     plain = F.transform(pieces(formatted), read_turn)
-    back = F.transform(plain, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
-    return F.when(formatted.startswith(ESCAPED), back).otherwise(plain)
+    return F.when(formatted.startswith(ESCAPED), _back(plain)).otherwise(plain)
 
 
-def _whole(formatted: Column) -> Column:
-    """Whether turns account for every character."""
-    start = F.when(formatted.startswith(ESCAPED), F.lit(len(ESCAPED))).otherwise(F.lit(len(PLAIN)))
-    return F.length(F.array_join(pieces(formatted), "")) + start == F.length(formatted)
+def _whole(formatted: Column, found: Column, header: str) -> Column:
+    """Whether the pieces found account for every character behind the header."""
+    return F.length(F.array_join(found, "")) + len(header) == F.length(formatted)
 
 
-def mask_of(formatted: Column) -> Column:
-    """The loss mask: spans (start, end) of the assistant's texts as they stand, in code points, end exclusive."""
-    start = F.when(formatted.startswith(ESCAPED), F.lit(len(ESCAPED))).otherwise(F.lit(len(PLAIN)))
+def mask_of(found: Column, start: Column) -> Column:
+    """The loss mask of pieces that begin at ``start``: spans (start, end) of the assistant's texts as they stand, in code points, end exclusive."""
     empty = F.array().cast("array<struct<start: int, end: int>>")
 
     def add(state: Column, piece: Column) -> Column:
@@ -104,7 +106,7 @@ def mask_of(formatted: Column) -> Column:
         mine = (read_turn(piece)["role"] == "assistant") & piece.endswith(" </s>") & ~piece.rlike(rf"(?s)^{_once(_OTHER)}$")
         return F.struct(end.alias("at"), F.when(mine, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(pieces(formatted), F.struct(start.cast("int").alias("at"), empty.alias("spans")), add)["spans"]
+    return F.aggregate(found, F.struct(start.cast("int").alias("at"), empty.alias("spans")), add)["spans"]
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
@@ -126,7 +128,12 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     plain = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    first = grouped.select("conv_id", turns.alias("turns")).withColumn("formatted", render(F.col("turns"), False))
-    same = lambda f: _whole(f) & (parse(f) == F.col("turns"))
-    tried = first.withColumn("formatted", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(render(F.col("turns"), True)))
-    return tried.select("conv_id", "formatted", mask_of(F.col("formatted")).alias("mask"), same(F.col("formatted")).alias("identical"))
+    # each step uses the one before by name, so that no conversation is parsed twice for one purpose
+    first = grouped.select("conv_id", turns.alias("turns")).withColumn("plain", render(F.col("turns"), False)).withColumn("pieces", pieces(F.col("plain")))
+    read = F.transform("pieces", read_turn)
+    tried = first.withColumn("fine", _whole(F.col("plain"), F.col("pieces"), PLAIN) & (read == F.col("turns")))
+    done = tried.withColumn("formatted", F.when(F.col("fine"), F.col("plain")).otherwise(render(F.col("turns"), True)))
+    done = done.withColumn("pieces", F.when(F.col("fine"), F.col("pieces")).otherwise(pieces(F.col("formatted"))))
+    start = F.when(F.col("fine"), F.lit(len(PLAIN))).otherwise(F.lit(len(ESCAPED)))
+    same = F.when(F.col("fine"), F.lit(True)).otherwise(_whole(F.col("formatted"), F.col("pieces"), ESCAPED) & (_back(F.transform("pieces", read_turn)) == F.col("turns")))
+    return done.select("conv_id", "formatted", mask_of(F.col("pieces"), start).alias("mask"), same.alias("identical"))
