@@ -189,7 +189,7 @@ def _share(items: DataFrame, window: int):
     return items.sparkSession.sparkContext.broadcast((rows, window))
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, name: str = "match", most_chars: int = 8_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, name: str = "match", most_chars: int = 2_000_000) -> DataFrame:
     """``docs`` with a struct: number of words, hit word ranges and the items found.
 
     The tokens of each text stream through the automaton, which tracks the longest
@@ -198,7 +198,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     whose id is null hits words but isn't listed; repeated ids are one item.
 
     Items come to the driver and are broadcast only up to ``most_chars`` characters
-    together, which is checked first. More items are dealt into parts of about that
+    together, which is checked first; an automaton of these takes about 230 MB in each
+    Python worker. More items are dealt into parts of about that
     size; the documents are stored once and run through one part after another, and the
     ranges found are merged. One item must fit.
     """
@@ -235,11 +236,12 @@ def hit_words(match):
     return F.aggregate(F.zip_with(match["ends"], match["starts"], lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, max_words: int = 8, max_coverage: float = 0.5, min_items: int = 1, most_chars: int = 8_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, max_words: int = 8, max_coverage: float = 0.5, min_items: int = 1, most_chars: int = 2_000_000) -> DataFrame:
     """``docs`` without contaminated passages, same columns.
 
-    Ranges of at least ``max_words`` hit words are cut out of the text, in documents
-    where at least ``min_items`` items occur; a document that hits more than
+    Ranges of at least ``max_words`` hit words are cut out of the text, and those that are
+    a whole item of fewer words than a window, in documents where at least ``min_items``
+    items occur (items without an id count as one more); a document that hits more than
     ``max_coverage`` of its words is dropped as a whole. Other documents stay unchanged,
     those without words or text included.
     """
@@ -255,9 +257,10 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 raw = t.as_py()
                 words = words_of(raw)
                 starts, ends, found = automaton.match(words)
-                taken = len(found) >= min_items
+                # ranges without a listed item are those of items without an id
+                taken = bool(starts) and max(len(found), 1) >= min_items
                 hits = sum(ends) - sum(starts)
-                out.append({"text": _without(raw, starts, ends, max_words) if taken else _text(raw), "keep": not taken or hits <= len(words) * max_coverage})
+                out.append({"text": _without(raw, starts, ends, max_words, window) if taken else _text(raw), "keep": not taken or hits <= len(words) * max_coverage})
             return pa.array(out, pa.struct([("text", pa.string()), ("keep", pa.bool_())]))
 
         done = docs.withColumn("__clean", cleaned.asNondeterministic()(F.col(text).cast("binary")))
@@ -267,9 +270,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
     @F.arrow_udf("string")
     def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        return pa.array([_without(t.as_py(), lo or [], hi or [], max_words) for t, lo, hi in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True)], pa.string())
+        return pa.array([_without(t.as_py(), lo or [], hi or [], max_words, window) for t, lo, hi in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True)], pa.string())
 
-    taken = F.size("__match.items") >= min_items
+    taken = (F.size("__match.starts") > 0) & (F.greatest(F.size("__match.items"), F.lit(1)) >= min_items)
     whole = marked.where(~taken | (hit_words(hits) <= F.col("__match.n_words") * F.lit(max_coverage)))
     empty = F.array().cast("array<bigint>")
     shorter = cut_out(F.col(text).cast("binary"), F.when(taken, F.col("__match.starts")).otherwise(empty), F.when(taken, F.col("__match.ends")).otherwise(empty))
@@ -280,9 +283,9 @@ def _text(raw: bytes | None) -> str | None:
     return None if raw is None else raw.decode("utf-8", "replace")
 
 
-def _without(raw: bytes | None, starts: list[int], ends: list[int], max_words: int) -> str | None:
-    """The text without its ranges of at least ``max_words`` words."""
-    ranges = [(lo, hi) for lo, hi in zip(starts, ends, strict=True) if hi - lo >= max_words]
+def _without(raw: bytes | None, starts: list[int], ends: list[int], max_words: int, window: int) -> str | None:
+    """The text without its ranges of at least ``max_words`` words, or of fewer than a window: those are whole items."""
+    ranges = [(lo, hi) for lo, hi in zip(starts, ends, strict=True) if hi - lo >= max_words or hi - lo < window]
     if not ranges:
         return _text(raw)
     spans = [m.span() for m in _WORD.finditer(raw.translate(_TO_WORDS))]

@@ -66,3 +66,13 @@ def test_clean(spark):
     assert got == {1: "keep all this, please. ! And much of the rest, as it is clean.", 3: None, 4: "clean", 5: ""}
     left = d.matches(d.clean(docs, items), items).select("match.*").collect()
     assert all(e - s < 8 for r in left for s, e in zip(r.starts, r.ends, strict=True)) or len(left) < len(rows)
+
+
+def test_clean_cuts_whole_short_items_and_items_without_an_id(spark):
+    items = spark.createDataFrame([(1, "what is the capital of Peru"), (None, "name all nine of the known planets in order of size")], "item_id long, text string")
+    text = "Some talk before. What is the capital of Peru? And some more talk that goes on behind it for a while"
+    other = "As they say: name all nine of the known planets in order of size, and then they go on with many other words of their own"
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "what is the capital of France and who lives there")], "doc_id long, text string")
+    for most in (2_000_000, 40):
+        got = {r.doc_id: r.text for r in d.clean(docs, items, most_chars=most).collect()}
+        assert got == {1: text.replace("What is the capital of Peru", ""), 2: other.replace("name all nine of the known planets in order of size", ""), 3: "what is the capital of France and who lives there"}, most
