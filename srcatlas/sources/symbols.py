@@ -222,7 +222,7 @@ def _body_end(whole: _Text, start: int, head: int, kind: str) -> int:
         i = bisect_left(whole.opened, start)
         return whole.close(whole.opened[i]) if i < len(whole.opened) else len(text)
     if lang == "python":
-        indent = len(text[start:head]) - len(text[start:head].lstrip())
+        indent = start - text.rfind("\n", 0, start) - 1
         end = line_end
         for m in re.compile(r"[^\n]*\n?").finditer(text, line_end + 1):
             if m.group().strip():
