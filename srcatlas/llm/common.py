@@ -22,6 +22,19 @@ def ascii_lower(column):
 BROADCAST_ROWS = 1_000_000
 
 
+#: So many narrow rows go to one partition of a stored frame.
+ROWS_A_PART = 50_000
+
+
+def cut_to(df: DataFrame, rows: int, per: int = ROWS_A_PART) -> DataFrame:
+    """cut, in as many partitions as up to ``rows`` rows take.
+
+    In loops over small frames the files of empty partitions, and of the shuffles that
+    read them, would take more time and disk than the rows.
+    """
+    return cut(df.coalesce(max(1, -(-rows // per))))
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df``, stored, and to be broadcast if it has at most BROADCAST_ROWS rows; only for narrow rows."""
     stored = cut(df)
@@ -32,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges`` has two columns of one ordered type. Returns (node, label): label is the
@@ -40,7 +53,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     the least neighbour of every node, by an aggregation that adds up before it shuffles,
     and joins the edges with these stored minima: both sides are plain shuffles, so the
     edges of a hub can be split among tasks. Nothing but one row of counts comes to the
-    driver. The rounds needed grow with the logarithm of the longest path; running out
+    driver. ``rows`` may say how many edges there are at most. The rounds needed grow with the logarithm of the longest path; running out
     of ``most_rounds`` raises.
     """
 
@@ -49,15 +62,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         return row["n"], int(row["h"])
 
     # u is the larger end, v the smaller
-    now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now = cut(now) if rows is None else cut_to(now, rows)
     before = sketch(now)
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        both = now.union(now.select("v", "u")).toDF("x", "y")
-        least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
-        large = cut(both.where("y > x").join(least, "x").where("y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        most = 2 * before[0]
+        both = now.union(now.select("v", "u")).toDF("x", "y").coalesce(max(1, -(-most // ROWS_A_PART)))
+        least = cut_to(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), most)
+        large = cut_to(both.where("y > x").join(least, "x").where("y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), most)
+        least = cut_to(large.groupBy("u").agg(F.min("v").alias("m")), most)
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -65,7 +80,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             .where("u != v")
             .distinct()
         )
-        now = cut(small)
+        now = cut_to(small, most)
         after = sketch(now)
         if after == before:
             break

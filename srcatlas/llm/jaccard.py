@@ -17,11 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import components, cut, few, first_of_each, named_rows
+from srcatlas.llm.common import components, cut, cut_to, few, first_of_each, named_rows
 from srcatlas.llm.simhash import BITS, bits_set, links, majority, shingle_hashes
 
 #: Bands of so many minimum hashes each. Two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, 2e-13 at 0.9.
 BANDS, ROWS = 32, 5
+#: So many sets of hashes go to one partition.
+HASHED = 5_000
+
 _ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,9 +79,11 @@ class _Sets:
         found = docs.select("__row", F.col(doc_id).alias("doc_id"), marks(F.col(text).cast("binary")).alias("m"))
         self.marked = cut(found.select("__row", "doc_id", "m.*"))
         self.sets = cut(self.marked.groupBy("sid").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+        self.n = self.sets.count()
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """The (x, y) of ``pairs`` whose exact similarity is large enough. A set moves once for all pairs with x on its right."""
+        """The (x, y) of ``pairs`` (stored) whose exact similarity is large enough."""
+        n = pairs.count()
         at_least, shingle, seed = self.at_least, self.shingle, self.seed
         needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(self.sets.select("sid", "__row"), "sid")
 
@@ -96,9 +101,9 @@ class _Sets:
             return pa.array(out, pa.bool_())
 
         texts = self.docs.select("__row", F.col(self.text).cast("binary").alias("t")).join(few(needed), "__row").dropDuplicates(["sid"])
-        known = cut(texts.select("sid", hashed("t").alias("s")))
+        known = cut_to(texts.select("sid", hashed("t").alias("s")), 2 * n, HASHED)
         joined = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
-        return cut(joined.where(close("a", "b")).select("x", "y"))
+        return cut_to(joined.where(close("a", "b")).select("x", "y"), n, HASHED)
 
     def fitting(self, a: str, b: str) -> str:
         """A condition that sizes of sets similar enough meet."""
@@ -114,42 +119,44 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     component gets that one's label, which settles large groups in proportion to their
     size. Then sets of different labels that share a band are compared. Under a band that
     more than ``dense`` sets share, all that are not connected with it yet are compared
-    with one of them, in three rounds: with the same one wherever it stands, then with
-    other ones band by band. After that every two that are still not connected are.
+    with two of them, one that is picked alike in all bands and one that isn't, and then
+    with a third. After that every two that are still not connected are.
     """
     sets = _Sets(docs, doc_id, text, Fraction(str(similarity)), shingle, seed)
     # 1: SimHash
     near = components(links(sets.sets, distance, whole=False), "x", "y").withColumnRenamed("node", "fp")
     grouped = sets.sets.select("sid", "size", "fp").join(near, "fp", "left").select("sid", "size", F.coalesce("label", "fp").alias("g"))
-    grouped = cut(grouped)
-    heads = cut(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"))
+    grouped = cut_to(grouped, sets.n)
+    heads = cut_to(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"), sets.n)
     spokes = grouped.join(heads.select("g", F.col("h.sid").alias("x"), F.col("h.size").alias("m")), "g").where(f"sid != x AND {sets.fitting('size', 'm')}")
-    linked = sets.similar(cut(spokes.select("x", F.col("sid").alias("y"))))
+    linked = sets.similar(cut_to(spokes.select("x", F.col("sid").alias("y")), sets.n))
     # 2: bands of sets that are not connected yet
     label = F.coalesce("x", "sid").alias("label")
-    labelled = cut(sets.sets.join(linked.withColumnRenamed("y", "sid"), "sid", "left").select("sid", "size", label, "bands"))
+    labelled = cut_to(sets.sets.join(linked.withColumnRenamed("y", "sid"), "sid", "left").select("sid", "size", label, "bands"), sets.n)
     keys = labelled.select("sid", "size", "label", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "n")
-    some = cut(keys.join(cut(shared), "key"))
-    crowded = cut(some.where(f"n > {dense}"))
-    pairs = _across(some.where(f"n <= {dense}"), sets)
-    linked = cut(linked.union(sets.similar(cut(pairs.distinct()))))
+    some = cut_to(keys.join(cut_to(shared, sets.n), "key"), BANDS * sets.n)
+    pairs = _across(some.where(f"n <= {dense}"), sets).distinct()
+    linked = cut(linked.union(sets.similar(cut_to(pairs, sets.n))))
+    crowded = cut_to(some.where(f"n > {dense}"), BANDS * sets.n)
     found = components(linked, "x", "y")
-    for pick in (F.xxhash64("sid"), F.xxhash64("sid", "key"), F.xxhash64("key", "sid"), None):
+    for picks in ((F.xxhash64("sid"), F.xxhash64("sid", "key")), (F.xxhash64("key", "sid"),), ()):
         named = crowded.drop("label").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        named = cut(named)
-        parted = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-        crowded = cut(named.join(parted, "key", "left_semi"))
+        named = cut_to(named, BANDS * sets.n)
+        parted = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        crowded = cut_to(named.join(parted, "key", "left_semi"), BANDS * sets.n)
         if crowded.isEmpty():
             break
-        if pick is not None:
-            pivots = cut(crowded.groupBy("key").agg(F.min_by(F.struct("sid", "size", "label"), pick).alias("p")))
+        if picks:
+            member = F.struct("sid", "size", "label")
+            pivots = crowded.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, pick) for pick in picks])).alias("ps"))
+            pivots = cut_to(pivots.select("key", F.explode("ps").alias("p")), BANDS * sets.n)
             pivots = pivots.select("key", F.col("p.sid").alias("p"), F.col("p.size").alias("m"), F.col("p.label").alias("c"))
             star = crowded.join(pivots, "key").where(f"label != c AND {sets.fitting('size', 'm')}")
-            more = cut(star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct())
+            more = star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct()
         else:
-            more = cut(_across(crowded, sets).distinct())
-        linked = cut(linked.union(sets.similar(more)))
+            more = _across(crowded, sets).distinct()
+        linked = cut(linked.union(sets.similar(cut_to(more, BANDS * sets.n))))
         found = components(linked, "x", "y")
     done = sets.marked.select("__row", "doc_id", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left")
     return done.select("__row", "doc_id", F.coalesce("label", "sid").alias("label"))

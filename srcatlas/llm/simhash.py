@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import components, cut, first_of_each, named_rows
+from srcatlas.llm.common import components, cut, cut_to, first_of_each, named_rows
 
 BITS = 64
 #: So many shingles are hashed at once, whatever the length of the text.
@@ -111,12 +111,14 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, dense: i
     other means, fingerprints of a fuller key are only compared with the least of it.
     """
     fps = cut(fps.select("fp").distinct())
-    choices = blocks_for(distance, blocks, fps.count())
+    n = fps.count()
+    choices = blocks_for(distance, blocks, n)
+    most = n * len(choices)
     keys = _keys(fps, choices)
-    counts = cut(keys.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1"))
+    counts = cut_to(keys.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1"), most)
     twos = counts.where("n = 2").select("x", "y").where(_close(distance))
     some = keys.join(counts.where(f"n > 2 and n <= {dense}").select("choice", "key"), ["choice", "key"])
-    some = cut(some)
+    some = cut_to(some, most)
     left, right = some.withColumnRenamed("fp", "x"), some.withColumnRenamed("fp", "y")
     pairs = left.join(right, (left.choice == right.choice) & (left.key == right.key) & (F.col("x") < F.col("y")) & _close(distance)).select("x", "y")
     full = counts.where(f"n > {dense}")
