@@ -30,9 +30,9 @@ class AtlasError(Exception):
 class Atlas:
     """Indexes trees and answers queries; results are DataFrames, but for text and dicts where said."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, fresh_seconds: float = 60):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, fresh_seconds: float = 60, workspace: str | None = None):
         """Results' freshness is looked up anew if the index changed, or after ``fresh_seconds``: it takes a listing of the tree."""
-        self.spark, self.store, self.embedder, self.fresh_seconds = spark, Store(spark, root), embedder, fresh_seconds
+        self.spark, self.store, self.embedder, self.fresh_seconds = spark, Store(spark, root, workspace), embedder, fresh_seconds
         self._status: dict[str, tuple[int, float, Row]] = {}
 
     # ---- maintenance
@@ -61,7 +61,7 @@ class Atlas:
 
     def gc_stale_indexes(self) -> list[str]:
         """Removes repositories whose tree is gone, and snapshots that are no longer current."""
-        gone = [r["name"] for r in self.list_repos().collect() if not self.store.exists(r["root_path"])]
+        gone = [name for name in sorted(self.store.manifest()) if not self.store.exists(self.store.root_path(name))]
         for name in gone:
             self.remove_repo(name)
         self.store.gc()
@@ -82,7 +82,7 @@ class Atlas:
         return repo
 
     def _root(self, repo: str) -> str:
-        return self.store.manifest()[repo]["root_path"]
+        return self.store.root_path(repo)
 
     def sources(self, repo: str) -> DataFrame:
         """The repository's files with their content of now."""

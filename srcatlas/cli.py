@@ -25,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
             flag = f"--{x.replace('_', '-')}"
             p.add_argument(flag, action="store_true") if kind is bool else p.add_argument(flag, type=kind)
 
-    command("index", "path", name=str, embed=bool, prune=bool)
+    for name in ("index", "index-folder", "index-repo"):
+        command(name, "path", name=str, embed=bool, prune=bool)
     command("watch", "path", "checkpoint", name=str, embed=bool)
     command("search", "query", repo=str, kind=str, limit=int)
     command("find", "name", "repo")
@@ -35,7 +36,10 @@ def parser() -> argparse.ArgumentParser:
     command("pack", "repo", "query", budget=int)
     command("callers", "name", "repo")
     command("callees", "name", "repo")
-    command("repos")
+    for name in ("repos", "list-repos"):
+        command(name)
+    command("status", "repo")
+    command("tree", "repo", depth=int)
     command("routes", "repo", method=str, path=str)
     command("invalidate", "repo", file=str)
     command("stats", "repo")
@@ -46,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(atlas: Atlas, a: argparse.Namespace):
     given = lambda **kw: {k: v for k, v in kw.items() if v is not None}
-    return {
+    commands = {
         "index": lambda: atlas.index_folder(a.path, a.name, prune_missing=a.prune, embed=a.embed),
         "watch": lambda: atlas.watch(a.path, a.checkpoint, a.name, embed=a.embed).awaitTermination(),
         "search": lambda: atlas.search_symbols(a.query, a.repo, a.kind, **given(limit=a.limit)),
@@ -63,7 +67,11 @@ def run(atlas: Atlas, a: argparse.Namespace):
         "stats": lambda: atlas.get_repo_stats(a.repo),
         "cycles": lambda: atlas.find_circular_deps(a.repo),
         "gc": lambda: {"removed": atlas.gc_stale_indexes()},
-    }[a.command]()
+        "status": lambda: atlas.get_index_status(a.repo),
+        "tree": lambda: {"tree": atlas.get_file_tree(a.repo, **given(depth=a.depth))},
+    }
+    aliases = {"index-folder": "index", "index-repo": "index", "list-repos": "repos"}
+    return commands[aliases.get(a.command, a.command)]()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -136,8 +136,8 @@ def _register() -> None:
             query(_sql(source, [f"{_put(a)} AS caller_name, {_put(b)} AS callee_name" for a, b in source.calls]))(called)
     for lang, source in ROUTES.items():
 
-        def routed(spark: SparkSession, sf_dir: str, source=source) -> DataFrame:
-            return routes.extract_routes(_files(spark, sf_dir, source))
+        def routed(spark: SparkSession, sf_dir: str, source=source, lang=lang) -> DataFrame:
+            return routes.extract_routes(_files(spark, sf_dir, source), langs=(lang,))
 
         routed.__name__ = f"routes_{lang}"
         query(_sql(source, [f"'{m}' AS method, {_put(p)} AS path, {_put(h)} AS handler, {_span(source.text, a, b)}" for m, p, h, a, b in source.routes]))(routed)

@@ -145,18 +145,24 @@ def _method(name: Column) -> Column:
     return F.when(m.isin("ALL", "ANY", "HANDLE", "HANDLEFUNC"), "ANY").otherwise(m)
 
 
-def extract_routes(files: DataFrame, content: str = "content") -> DataFrame:
-    """(repo, file, method, path, handler, start_byte, end_byte) of all files whose extension has rules."""
+def extract_routes(files: DataFrame, content: str = "content", langs: tuple[str, ...] | None = None) -> DataFrame:
+    """(repo, file, method, path, handler, start_byte, end_byte) of all files whose extension has rules.
+
+    ``langs`` names the only languages to look at; the plan then has their rules alone.
+    """
     lang = fn.lookup(F.lower(fn.extension(F.col("path"))), languages.ROUTES, F.lit(None).cast("string"))
     known = files.select("repo", F.col("path").alias("file"), lang.alias("lang"), latin1(F.col(content)).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    rules = RULES if langs is None else [r for r in RULES if set(r.langs) & set(langs)]
+    known = known if langs is None else known.where(F.col("lang").isin(*langs))
     route = "struct<method: string, path: string, handler: string, start_byte: bigint, end_byte: bigint>"
     nothing = F.array().cast(f"array<{route}>")
     made = lambda m, p, h, lo, hi: F.struct(_method(m).alias("method"), p.alias("path"), h.alias("handler"), lo.alias("start_byte"), hi.alias("end_byte"))
     found = []
-    for rule in RULES:
+    for rule in rules:
         hits = _rows(F.col("t"), rule, made)
         found.append(F.when(F.col("lang").isin(*rule.langs), F.flatten(hits)).otherwise(nothing))
-    found.append(F.when(F.col("lang").isin(*_JS), F.flatten(_chains(F.col("t"), made))).otherwise(nothing))
+    if langs is None or set(_JS) & set(langs):
+        found.append(F.when(F.col("lang").isin(*_JS), F.flatten(_chains(F.col("t"), made))).otherwise(nothing))
     rows = known.select("repo", "file", F.explode(F.concat(*found)).alias("r")).select("repo", "file", "r.*")
     text = [utf8(F.col(c)).alias(c) for c in ("path", "handler")]
     return rows.where("path != ''").select("repo", "file", "method", *text, "start_byte", "end_byte").distinct()

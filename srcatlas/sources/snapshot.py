@@ -80,8 +80,9 @@ class Store:
     different repositories don't undo one another. One writer a repository is expected.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, workspace: str | None = None):
+        """With a ``workspace`` the registry's paths are relative to it, so that both can be moved together."""
+        self.spark, self.root, self.workspace = spark, root.rstrip("/"), workspace
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -157,12 +158,19 @@ class Store:
             rows = new[name].select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
             rows.sortWithinPartitions(*columns).write.parquet(f"{self.root}/data/{repo}/{version}/{name}")
 
+        if root_path is not None and self.workspace is not None:
+            root_path = to_registry(root_path, self.workspace)
+
         def change(known: dict) -> dict:
             old = known.get(repo, {})
             return known | {repo: {"root_path": root_path or old.get("root_path"), "db_path": self.root, "last_indexed": stamp or old.get("last_indexed"), "version": version}}
 
         return self._publish(change)
 
+    def root_path(self, repo: str) -> str:
+        found = self.manifest()[repo]["root_path"]
+        return found if self.workspace is None else from_registry(found, self.workspace)
+
     def remove(self, repo: str) -> int:
         return self._publish(lambda known: {k: v for k, v in known.items() if k != repo})
 

@@ -102,6 +102,15 @@ def test_api(spark, tree, tmp_path, capsys):
     assert cli.main([str(tmp_path / "index"), "callers", "charge_card", "shop"], spark) == 0
     assert "create_checkout" in capsys.readouterr().out
     assert cli.main([str(tmp_path / "index"), "routes", "nope"], spark) == 1
+    assert cli.main([str(tmp_path / "index"), "list-repos"], spark) == cli.main([str(tmp_path / "index"), "status", "shop"], spark) == cli.main([str(tmp_path / "index"), "tree", "shop", "--depth", "1"], spark) == 0
+    assert "watcher_active" in capsys.readouterr().out
+    outline = atlas.get_repo_outline("shop")
+    assert "app.py" in outline["tree"] and outline["stats"]["files"] == 5 and outline["stats"]["symbols"] > 3
+    for call in (lambda: atlas.get_file_outline("shop", "none.py"), lambda: atlas.get_symbol("shop", "none.py", 0, 5)):
+        with pytest.raises(AtlasError) as e:
+            call()
+        assert e.value.key == "file_not_found"
+    assert atlas.get_symbol("shop", "app.py", 0, 10).first()["source"] == '"""App."""' and atlas.find("charge_card", "shop").first()["file"] == "app.py"
     assert atlas.invalidate_cache("shop", "app.py") == 1
     assert atlas.search_routes("shop").count() == 0 and atlas.search_symbols("charge", "shop").count() == 0
     for p in sorted(tree.rglob("*"), reverse=True):
@@ -210,6 +219,7 @@ def test_branches_and_registry_paths(tmp_path):
     assert git_branch(str(tmp_path)) == "feat-a-b"
     (tmp_path / ".git/HEAD").write_text("0" * 40)
     assert git_branch(str(tmp_path)) is None
+    assert Store(None, "x", str(tmp_path)).workspace == str(tmp_path)
     work = str(tmp_path)
     for path, want in ((f"{work}/a/b", "./a/b"), (work, "."), (str(tmp_path.parent), "..")):
         assert to_registry(path, work) == want and from_registry(want, work) == path
