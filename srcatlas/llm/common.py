@@ -26,13 +26,21 @@ BROADCAST_ROWS = 1_000_000
 ROWS_A_PART = 50_000
 
 
+#: So many shuffled partitions at most go to one partition: each holds some memory of its task to its end.
+MERGED = 16
+
+
+def parts_for(spark: SparkSession, rows: int, per: int = ROWS_A_PART) -> int:
+    return max(1, -(-rows // per), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED))
+
+
 def cut_to(df: DataFrame, rows: int, per: int = ROWS_A_PART) -> DataFrame:
-    """cut, in as many partitions as up to ``rows`` rows take.
+    """cut, in about as many partitions as up to ``rows`` narrow rows take.
 
     In loops over small frames the files of empty partitions, and of the shuffles that
-    read them, would take more time and disk than the rows.
+    read them, would take more time and disk than the rows. Not for plans that sort.
     """
-    return cut(df.coalesce(max(1, -(-rows // per))))
+    return cut(df.coalesce(parts_for(df.sparkSession, rows, per)))
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if before[0] == 0:
             break
         most = 2 * before[0]
-        both = now.union(now.select("v", "u")).toDF("x", "y").coalesce(max(1, -(-most // ROWS_A_PART)))
+        both = now.union(now.select("v", "u")).toDF("x", "y").coalesce(parts_for(edges.sparkSession, most))
         least = cut_to(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), most)
         large = cut_to(both.where("y > x").join(least, "x").where("y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), most)
         least = cut_to(large.groupBy("u").agg(F.min("v").alias("m")), most)

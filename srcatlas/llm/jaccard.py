@@ -22,9 +22,6 @@ from srcatlas.llm.simhash import BITS, bits_set, links, majority, shingle_hashes
 
 #: Bands of so many minimum hashes each. Two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, 2e-13 at 0.9.
 BANDS, ROWS = 32, 5
-#: So many sets of hashes go to one partition.
-HASHED = 5_000
-
 _ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +80,6 @@ class _Sets:
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The (x, y) of ``pairs`` (stored) whose exact similarity is large enough."""
-        n = pairs.count()
         at_least, shingle, seed = self.at_least, self.shingle, self.seed
         needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(self.sets.select("sid", "__row"), "sid")
 
@@ -101,9 +97,9 @@ class _Sets:
             return pa.array(out, pa.bool_())
 
         texts = self.docs.select("__row", F.col(self.text).cast("binary").alias("t")).join(few(needed), "__row").dropDuplicates(["sid"])
-        known = cut_to(texts.select("sid", hashed("t").alias("s")), 2 * n, HASHED)
+        known = cut(texts.select("sid", hashed("t").alias("s")))
         joined = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
-        return cut_to(joined.where(close("a", "b")).select("x", "y"), n, HASHED)
+        return cut(joined.where(close("a", "b")).select("x", "y"))
 
     def fitting(self, a: str, b: str) -> str:
         """A condition that sizes of sets similar enough meet."""
@@ -127,7 +123,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     near = components(links(sets.sets, distance, whole=False), "x", "y").withColumnRenamed("node", "fp")
     grouped = sets.sets.select("sid", "size", "fp").join(near, "fp", "left").select("sid", "size", F.coalesce("label", "fp").alias("g"))
     grouped = cut_to(grouped, sets.n)
-    heads = cut_to(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"), sets.n)
+    heads = cut(grouped.groupBy("g").agg(F.min(F.struct("sid", "size")).alias("h"), F.count("*").alias("n")).where("n > 1"))
     spokes = grouped.join(heads.select("g", F.col("h.sid").alias("x"), F.col("h.size").alias("m")), "g").where(f"sid != x AND {sets.fitting('size', 'm')}")
     linked = sets.similar(cut_to(spokes.select("x", F.col("sid").alias("y")), sets.n))
     # 2: bands of sets that are not connected yet
@@ -150,7 +146,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         if picks:
             member = F.struct("sid", "size", "label")
             pivots = crowded.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, pick) for pick in picks])).alias("ps"))
-            pivots = cut_to(pivots.select("key", F.explode("ps").alias("p")), BANDS * sets.n)
+            pivots = cut(pivots.select("key", F.explode("ps").alias("p")))
             pivots = pivots.select("key", F.col("p.sid").alias("p"), F.col("p.size").alias("m"), F.col("p.label").alias("c"))
             star = crowded.join(pivots, "key").where(f"label != c AND {sets.fitting('size', 'm')}")
             more = star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct()
