@@ -106,7 +106,7 @@ class _Sets:
         return f"least({a}, {b}) * {self.at_least.denominator} >= greatest({a}, {b}) * {self.at_least.numerator}"
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, dense: int = 64) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, dense: int = 8) -> DataFrame:
     """(__row, doc_id, label) by component, for ``docs`` with the __row of named_rows.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity``
