@@ -50,7 +50,7 @@ def test_tokens_and_paths(spark):
 
 def test_quality(spark):
     q = spark.range(1).select(fn.quality("semantic", F.lit("a.py"), score=F.lit(2.0)).alias("a"), fn.quality("route", F.lit("dist/x.mts"), handler=F.lit("")).alias("b"), fn.quality("symbol", F.lit("a.md")).alias("c"), fn.quality("odd", F.lit(None).cast("string")).alias("d")).first()
-    assert q["a"]["confidence"] == 1.0 and q["a"]["parser_mode"] == "tree_sitter"
+    assert q["a"]["confidence"] == 1.0 and q["a"]["parser_mode"] == "grammar"
     assert q["b"]["confidence"] == q["b"]["route_confidence"] == 0.65 and q["b"]["is_generated"] and q["b"]["language_surface"] == "unknown"
     assert q["c"]["confidence"] == 0.92 and q["c"]["parser_mode"] == "native_markdown"
     assert q["d"]["confidence"] == 0.5 and q["d"]["language_surface"] == "unknown"
