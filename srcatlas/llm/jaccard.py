@@ -3,13 +3,14 @@
 SimHash fingerprints are too coarse for this: texts whose shingles are similar by 0.8
 differ in 9.7 of 64 bits on average, and in up to 17, for which no blocks are long
 enough to be keys. So SimHash finds the closest texts, which are most of those in large
-groups, and bands of minimum hashes propose the others. The exact similarity decides on
-all of them.
+groups, and bands of minimum hashes propose the others. Among sets of crowded bands
+hashes that are rare there propose them instead. The exact similarity decides on all.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.common import components, cut, cut_to, few, first_of_each, named_rows
+from srcatlas.llm.common import BROADCAST_ROWS, components, cut, cut_to, few, first_of_each, named_rows
 from srcatlas.llm.simhash import BITS, bits_set, links, majority, shingle_hashes
 
 #: Bands of so many minimum hashes each. Two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, 2e-13 at 0.9.
@@ -78,15 +79,22 @@ class _Sets:
         self.sets = cut(self.marked.groupBy("sid").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
         self.n = self.sets.count()
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The (x, y) of ``pairs`` (stored) whose exact similarity is large enough."""
-        at_least, shingle, seed = self.at_least, self.shingle, self.seed
-        needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(self.sets.select("sid", "__row"), "sid")
+    def hashes(self, sids: DataFrame) -> DataFrame:
+        """(sid, s) of the distinct ``sids``; s has the bytes of the set's sorted hashes."""
+        shingle, seed = self.shingle, self.seed
 
         @F.arrow_udf("binary")
         def hashed(texts: pa.Array) -> pa.Array:
             return pa.array([shingles_of(t.as_py(), shingle, seed)[0].tobytes() for t in texts], pa.binary())
 
+        needed = sids.join(self.sets.select("sid", "__row"), "sid")
+        texts = self.docs.select("__row", F.col(self.text).cast("binary").alias("t")).join(few(needed), "__row").dropDuplicates(["sid"])
+        return cut(texts.select("sid", hashed("t").alias("s")))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The (x, y) of ``pairs`` (stored) whose exact similarity is large enough."""
+        at_least = self.at_least
+
         @F.arrow_udf("boolean")
         def close(a: pa.Array, b: pa.Array) -> pa.Array:
             out = []
@@ -96,8 +104,7 @@ class _Sets:
                 out.append(both * at_least.denominator >= (len(p) + len(q) - both) * at_least.numerator)
             return pa.array(out, pa.bool_())
 
-        texts = self.docs.select("__row", F.col(self.text).cast("binary").alias("t")).join(few(needed), "__row").dropDuplicates(["sid"])
-        known = cut(texts.select("sid", hashed("t").alias("s")))
+        known = self.hashes(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct())
         joined = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
         return cut(joined.where(close("a", "b")).select("x", "y"))
 
@@ -113,10 +120,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     at least; texts of the same set, those without words too, are one node. First SimHash
     components of ``distance`` bits are verified: a set as similar to the least of its
     component gets that one's label, which settles large groups in proportion to their
-    size. Then sets of different labels that share a band are compared. Under a band that
-    more than ``dense`` sets share, all that are not connected with it yet are compared
-    with two of them, one that is picked alike in all bands and one that isn't, and then
-    with a third. After that every two that are still not connected are.
+    size. Then sets of different labels that share a band are compared, if at most
+    ``dense`` sets share it. The sets of fuller bands go to ``crowd_links``.
     """
     sets = _Sets(docs, doc_id, text, Fraction(str(similarity)), shingle, seed)
     # 1: SimHash
@@ -132,28 +137,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     keys = labelled.select("sid", "size", "label", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "n")
     some = cut_to(keys.join(cut_to(shared, sets.n), "key"), BANDS * sets.n)
-    pairs = _across(some.where(f"n <= {dense}"), sets).distinct()
-    linked = cut(linked.union(sets.similar(cut_to(pairs, sets.n))))
-    crowded = cut_to(some.where(f"n > {dense}"), BANDS * sets.n)
+    pairs = [_across(some.where(f"n <= {dense}"), sets)]
+    crowd = cut(some.where(f"n > {dense}").select("sid", "label").distinct())
+    stars, more = crowd_links(sets, crowd, dense)
+    linked = cut(reduce(DataFrame.union, [linked, *stars, sets.similar(cut(reduce(DataFrame.union, [*pairs, *more]).distinct()))]))
     found = components(linked, "x", "y")
-    for picks in ((F.xxhash64("sid"), F.xxhash64("sid", "key")), (F.xxhash64("key", "sid"),), ()):
-        named = crowded.drop("label").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        named = cut_to(named, BANDS * sets.n)
-        parted = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        crowded = cut_to(named.join(parted, "key", "left_semi"), BANDS * sets.n)
-        if crowded.isEmpty():
-            break
-        if picks:
-            member = F.struct("sid", "size", "label")
-            pivots = crowded.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, pick) for pick in picks])).alias("ps"))
-            pivots = cut(pivots.select("key", F.explode("ps").alias("p")))
-            pivots = pivots.select("key", F.col("p.sid").alias("p"), F.col("p.size").alias("m"), F.col("p.label").alias("c"))
-            star = crowded.join(pivots, "key").where(f"label != c AND {sets.fitting('size', 'm')}")
-            more = star.select(F.least("sid", "p").alias("x"), F.greatest("sid", "p").alias("y")).distinct()
-        else:
-            more = _across(crowded, sets).distinct()
-        linked = cut(linked.union(sets.similar(cut_to(more, BANDS * sets.n))))
-        found = components(linked, "x", "y")
     done = sets.marked.select("__row", "doc_id", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left")
     return done.select("__row", "doc_id", F.coalesce("label", "sid").alias("label"))
 
@@ -164,6 +152,98 @@ def _across(members: DataFrame, sets: _Sets) -> DataFrame:
     return one.join(two, "key").where(f"x < y AND a != b AND {sets.fitting('m', 'n')}").select("x", "y")
 
 
+def crowd_links(sets: _Sets, crowd: DataFrame, dense: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (x, y) of similar sets, and pairs (x, y) to be verified: together they connect all similar sets of ``crowd``.
+
+    ``crowd`` is stored and has (sid, label); pairs of one label are left out. With J >= p / q
+    two sets x, y differ in at most (|x| + |y|) * a / b hashes, a = q - p, b = q + p. To
+    take all hashes of a set M out of x where x has them, and in where it hasn't, gives a
+    D(x) such that D(x) and D(y) differ just as x and y do. With v(x) = b |D(x)| - a |x|,
+    similar sets thus share at least c = (v(x) + v(y)) / 2b hashes of their Ds. Where that
+    is 0 or less both are similar to the set of least v, and one link each is enough.
+    Otherwise the first hash they share is among the first |D| - c + 1 of either, in any
+    order; from the rarest on, these are few, and shared by few. M is empty at first; the
+    sets that share any such hash are parted into groups, and in each M is what over half
+    of its sets have: copies of one text keep what each has changed. Hashes that over ``dense``
+    sets share even then make smaller groups in turn. What doesn't get smaller is paired.
+    """
+    a, b = sets.at_least.denominator - sets.at_least.numerator, sets.at_least.denominator + sets.at_least.numerator
+    p, q = sets.at_least.numerator, sets.at_least.denominator
+    stars, pairs = [], []
+    if crowd.isEmpty():
+        return stars, pairs
+    known = sets.hashes(crowd.select("sid")).join(crowd, "sid")
+    known = cut(known.select("sid", "label", _longs("s").alias("s")).where("size(s) > 0"))
+    now, first = known.withColumns({"g": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "flips": F.array().cast("array<bigint>")}), True
+    while True:
+        # each set without what most of its group have, and with what it lacks of that
+        other = F.array_union(F.array_except("s", "flips"), F.array_except("flips", "s"))
+        held = now.select("g", "n", "sid", "label", F.size("s").alias("size"), F.size("flips").alias("m"), (F.col("s") if first else other).alias("d"))
+        held = cut(held.withColumn("k", F.size("d")).withColumn("v", F.expr(f"k * {b}L - size * {a}L")))
+        heads = few(held.groupBy("g").agg(F.min(F.struct("v", "sid")).alias("h")).select("g", F.col("h.v").alias("v0"), F.col("h.sid").alias("head")))
+        stars.append(cut(held.join(heads, "g").where("v + v0 <= 0 AND sid != head").select(F.col("head").alias("x"), F.col("sid").alias("y"))))
+        # groups with sets that aren't linked to the head; free is the least v of those
+        free = few(held.join(heads, "g").where("v + v0 > 0").groupBy("g", "v0").agg(F.min("v").alias("free")))
+        held = held.join(free, "g")
+        # what a set shares at least with any that has a larger v, as low, and with any that has a smaller one, as high
+        fits = f"ceil(size * {p}L / {q}D)"
+        bound = F.expr(f"greatest(v0, CASE WHEN {fits} >= m THEN {fits} * {b - a}L - m * {b}L ELSE -m * {a}L END)")
+        low = F.expr(f"greatest(1L, CASE WHEN v < free THEN ceil((v + free) / {2 * b}D) ELSE ceil(v / {b}D) END)")
+        high = F.expr(f"CASE WHEN v < free THEN k + 1L ELSE greatest(1L, ceil((v + bound) / {2 * b}D)) END")
+        marks = held.withColumn("bound", bound).select("g", "n", "sid", "label", "size", "k", "v", low.alias("low"), high.alias("high"))
+        tokens = held.select("g", "sid", F.explode("d").alias("t"))
+        shared = tokens.groupBy("g", "t").agg(F.count("*").alias("c")).where("c > 1")
+        rare = tokens.join(shared, ["g", "t"]).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
+        # hashes of one set alone come first in the order, and make no keys
+        keys = rare.join(marks, "sid").withColumn("own", F.expr("k - size(ts)"))
+        keys = keys.withColumn("ts", F.expr("slice(ts, 1, int(greatest(0L, k - least(low, high) + 1 - own)))"))
+        keys = keys.select("g", "n", "sid", "label", "size", "k", "v", "low", "high", "own", F.posexplode("ts").alias("at", "e"))
+        keys = cut(keys.select("g", "n", "sid", "label", "size", "k", "v", (F.col("own") + F.col("at")).alias("at"), F.col("e.t").alias("t"), F.expr("own + at + low <= k").alias("lower"), F.expr("own + at + high <= k").alias("upper")))
+        counts = keys.groupBy("g", "t").agg(F.least(F.count_if("lower"), F.count_if("upper")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("sid").alias("x")).where("c > 0 AND lo < hi")
+        keys = cut(keys.join(counts.select("g", "t", "c", "x"), ["g", "t"]))
+        full = keys.where(f"c > {0 if first else dense}")
+        if not first:
+            pairs.append(_meeting(keys.where(f"c <= {dense}"), sets, b))
+        edges = cut(full.select("x", "sid").distinct())
+        if edges.isEmpty():
+            return stars, pairs
+        # smaller groups
+        group = F.coalesce("label", "sid").alias("to")
+        inside = cut(edges.select("sid").distinct().join(components(edges, "x", "sid").toDF("sid", "label"), "sid", "left").select("sid", group))
+        sizes = inside.groupBy("to").agg(F.count("*").alias("more"))
+        moved = full.groupBy("sid").agg(F.first("n").alias("n")).join(inside, "sid").join(few(sizes), "to")
+        moved = cut(moved.select("sid", "to", "more", (F.lit(first) | F.expr("more * 10 <= n * 9")).alias("smaller")))
+        if not first:
+            pairs.append(_meeting(full.join(moved.where("NOT smaller").select("sid"), "sid", "left_semi"), sets, b))
+        now = cut(known.join(moved.where("smaller").select("sid", F.col("to").alias("g"), F.col("more").alias("n")), "sid"))
+        most = now.select("g", "n", F.explode("s").alias("t")).groupBy("g", "n", "t").agg(F.count("*").alias("c")).where("c * 2 > n")
+        most = cut(most.groupBy("g").agg(F.collect_list("t").alias("flips"), F.count("*").alias("c")))
+        # as many hashes are broadcast as rows of one number would be
+        if (most.agg(F.sum("c")).first()[0] or 0) <= BROADCAST_ROWS:
+            most = F.broadcast(most)
+        now = now.join(most.drop("c"), "g", "left").withColumn("flips", F.coalesce("flips", F.array().cast("array<bigint>")))
+        first = False
+
+
+def _longs(column: str):
+    """The numbers whose bytes, the least first, a binary column holds."""
+
+    @F.arrow_udf("array<bigint>")
+    def read(found: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_py(), "<i8") for x in found], pa.list_(pa.int64()))
+
+    return read(column)
+
+
+def _meeting(keys: DataFrame, sets: _Sets, b: int) -> DataFrame:
+    """Pairs (x, y) of sets of a group that share a hash where the first one that they share can be."""
+    one = keys.where("lower").select("g", "t", *[F.col(c).alias(f"{c}1") for c in ("sid", "label", "size", "k", "v", "at")])
+    two = keys.where("upper").select("g", "t", *[F.col(c).alias(f"{c}2") for c in ("sid", "label", "size", "k", "v", "at")])
+    shared = f"greatest(1L, ceil((v1 + v2) / {2 * b}D))"
+    met = one.join(two, ["g", "t"]).where(f"label1 != label2 AND v1 <= v2 AND {sets.fitting('size1', 'size2')} AND at1 + {shared} <= k1 AND at2 + {shared} <= k2")
+    return cut(met.select(F.least("sid1", "sid2").alias("x"), F.greatest("sid1", "sid2").alias("y")).distinct())
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the near-duplicates: of each component the row with the smallest doc_id stays.
 

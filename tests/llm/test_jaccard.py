@@ -88,3 +88,19 @@ def test_simhash_cannot_reach_the_threshold():
         a, b = (jaccard.majority(jaccard.bits_set(s), len(s)) for s in (x[:540], x[60:]))
         bits.append(((a ^ b) & (1 << 64) - 1).bit_count())
     assert 8 < np.mean(bits) < 12 and np.mean(np.array(bits) <= 4) < 0.1
+
+
+def test_crowds_of_distant_copies_are_not_paired(spark, monkeypatch):
+    """Copies of one text, most too far apart for the threshold, under crowded bands: few candidates, and all links."""
+    r = random.Random(7)
+    crowd = [f"c{i}" for i in range(150)]
+    texts = [changed(r, crowd, r.randrange(3, 6)) for _ in range(300)]
+    want = brute_components(texts)
+    assert len(set(want)) > 100
+    seen = []
+    similar = jaccard._Sets.similar
+    monkeypatch.setattr(jaccard._Sets, "similar", lambda self, pairs: seen.append(pairs.count()) or similar(self, pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in jaccard.keep_one(docs).collect()) == sorted(set(want))
+    print("candidates", seen)
+    assert sum(seen) < 10 * len(texts)
