@@ -44,9 +44,21 @@ def callees(edges: DataFrame, name: str, repo: str | None = None) -> DataFrame:
 
 
 def calls_in_symbols(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls (repo, file, pos, callee_name) with each symbol of their file whose span holds the position."""
-    s = symbols.select("repo", "file", "symbol_id", F.col("name").alias("caller_name"), "start_byte", "end_byte")
-    return calls.join(s, ["repo", "file"]).where("pos >= start_byte AND pos < end_byte").drop("start_byte", "end_byte")
+    """Calls (repo, file, pos, callee_name) with each symbol of their file whose span holds the position.
+
+    Files are laid out in cells, on a level for spans of each order of length: cells are
+    powers of 4, at least as long as their spans and four times as long at most, so a
+    span lies in one or two. Calls look into their cell on each level that spans have
+    (32 at most). A span so meets only calls within eight times its length, however long
+    its file is.
+    """
+    level = (F.ceil(F.length(F.bin(F.expr("end_byte - start_byte - 1"))) / 2) * 2).cast("int")
+    s = symbols.select("repo", "file", "symbol_id", F.col("name").alias("caller_name"), "start_byte", "end_byte").where("end_byte > start_byte").withColumn("__level", level)
+    cells = F.expr("sequence(shiftright(CAST(start_byte AS BIGINT), __level), shiftright(CAST(end_byte - 1 AS BIGINT), __level))")
+    levels = F.broadcast(s.select("__level").distinct())
+    placed = calls.crossJoin(levels).withColumn("__cell", F.expr("shiftright(CAST(pos AS BIGINT), __level)"))
+    found = placed.join(s.withColumn("__cell", F.explode(cells)), ["repo", "file", "__level", "__cell"])
+    return found.where("pos >= start_byte AND pos < end_byte").drop("start_byte", "end_byte", "__level", "__cell")
 
 
 def file_graph(edges: DataFrame) -> DataFrame:

@@ -65,6 +65,25 @@ def test_resolution_and_hops(spark):
     assert {(r["pos"], r["caller_name"]) for r in graph.calls_in_symbols(placed, spans).collect()} == {(5, "outer"), (5, "inner")}
 
 
+def test_calls_in_spans_of_all_lengths(spark):
+    r = random.Random(5)
+    spans = [(i, "r", r.choice("xy"), f"s{i}", at, at + r.choice([-3, 0, 1, 2, 3, 4, 5, 16, 17, 64, 65, 300, 10**6, 2**40])) for i, at in ((i, r.randrange(-50, 400)) for i in range(300))] + [(300, "r", "x", "none", None, 5)]
+    calls = [("r", r.choice("xyz"), r.choice([r.randrange(-60, 500), 10**6, 2**40]), f"c{i}") for i in range(300)] + [("r", "x", None, "none")]
+    found = graph.calls_in_symbols(spark.createDataFrame(calls, "repo string, file string, pos long, callee_name string"), spark.createDataFrame(spans, "symbol_id long, repo string, file string, name string, start_byte long, end_byte long"))
+    assert found.columns == ["repo", "file", "pos", "callee_name", "symbol_id", "caller_name"]
+    brute = [(c, s) for _, f, p, c in calls for s, _, g, _, a, b in spans if f == g and None not in (p, a) and a <= p < b]
+    assert sorted((x["callee_name"], x["symbol_id"]) for x in found.collect()) == sorted(brute)
+
+
+def test_calls_and_spans_of_a_long_file_are_not_paired(spark):
+    n = 3000
+    calls = spark.range(n).selectExpr("'r' AS repo", "'x' AS file", "id AS pos", "'c' AS callee_name")
+    spans = spark.range(n).selectExpr("id AS symbol_id", "'r' AS repo", "'x' AS file", "'s' AS name", "id AS start_byte", "id + 2 AS end_byte")
+    found = graph.calls_in_symbols(calls, spans)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "pos" in x]
+    assert len(joins) == 1 and "__cell" in joins[0] and found.count() == 2 * n - 1
+
+
 def test_tree(spark):
     files = spark.createDataFrame([("src/a/b.py",), ("src/c.py",), ("z.md",)], "path string")
     assert graph.render_tree(files, 2) == "├── src/\n│   ├── a/\n│   └── c.py\n└── z.md"
