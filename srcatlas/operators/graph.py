@@ -207,16 +207,39 @@ def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None)
 
     For each length in turn, paths from each node go through larger ones only, in order,
     and only where enough steps are left to come back. Where a length, from 4 on, has no
-    cycle, the next to be tried is that of the shortest ones there are.
+    cycle, the next to be tried is that of the shortest ones there are; looking for it
+    from a node ends at the length that others have.
     """
     after: dict = {}
     before: dict = {}
     for a, b in sorted(set(edges)):
         after.setdefault(a, []).append(b)
         before.setdefault(b, []).append(a)
-    live = sorted(after)
     found: list[list] = []
 
+    def least_ones() -> list:
+        """The nodes that may be the least of a cycle: smaller ones, and what ends without them, are taken away before each."""
+        ways = [{n: len(x) for n, x in after.items()}, {n: len(x) for n, x in before.items()}]
+        gone, kept = set(), []
+
+        def take(todo: list) -> None:
+            while todo:
+                n = todo.pop()
+                if n not in gone:
+                    gone.add(n)
+                    for left, others in zip(ways, (before, after), strict=True):
+                        for m in others.get(n, ()):
+                            left[m] -= 1
+                            if not left[m]:
+                                todo.append(m)
+
+        take(list(after.keys() ^ before.keys()))
+        for n in sorted(after):
+            if n not in gone:
+                kept.append(n)
+                take([n])
+        return kept
+
     def back(start, most: int | None) -> tuple[dict, bool]:
         """Steps needed to come to ``start`` from nodes behind it, up to ``most``; and whether that is all."""
         steps, todo = {start: 0}, deque([start])
@@ -230,10 +253,23 @@ def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None)
                     todo.append(m)
         return steps, True
 
-    def shortest(start) -> int | None:
-        steps, _ = back(start, None)
-        return min((steps[m] + 1 for m in after[start] if m in steps), default=None)
+    def shortest(start, most: int | None) -> int | None:
+        """Length of the shortest cycle of ``start`` and larger nodes, if there is one; of one longer than ``most`` only ``most`` + 1."""
+        ends = set(after[start])
+        steps, todo = {start: 0}, deque([start])
+        while todo:
+            n = todo.popleft()
+            if n in ends:
+                return steps[n] + 1
+            if most is not None and steps[n] >= most:
+                return most + 1
+            for m in before.get(n, ()):
+                if m >= start and m not in steps:
+                    steps[m] = steps[n] + 1
+                    todo.append(m)
+        return None
 
+    live = least_ones()
     length = 1
     while live and len(found) < limit and (most_length is None or length <= most_length):
         n, still = len(found), []
@@ -262,9 +298,14 @@ def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None)
         ahead = length + 1
         if len(found) == n and length >= 4:
             # nodes that no cycle of larger ones leads back to are done with
-            known = {s: shortest(s) for s in live}
-            live = [s for s in live if known[s] is not None]
-            ahead = max(ahead, min((known[s] for s in live), default=ahead))
+            still, best = [], None
+            for start in live:
+                known = shortest(start, best)
+                if known is not None:
+                    still.append(start)
+                    best = known if best is None else min(best, known)
+            live = still
+            ahead = max(ahead, best or ahead)
         length = ahead if length < len(after) else len(after) + 1
         if length > len(after):
             break
@@ -275,10 +316,21 @@ def cycles(graph: DataFrame, limit: int = 20, most_length: int | None = None) ->
     """(cycle, length): the first elementary cycles by length, then lexicographically, each from its smallest node and closed.
 
     Self-loops are cycles of length 1, and cycles may be of any length, unless
-    ``most_length`` is given. They lie inside strongly connected parts, each of which is
-    searched on its own for its first ``limit``; a part of more than ONE_TASK edges by
-    paths that grow side by side.
+    ``most_length`` is given. Those of length 1 and 2 are edges to be found by one join;
+    if they are ``limit``, that is all. Else cycles lie inside strongly connected parts,
+    each of which is searched on its own for its first ``limit``; a part of more than
+    ONE_TASK edges by paths that grow side by side.
     """
+    graph = cut(graph.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    one = F.lit(1).cast("long")
+    short = graph.where("src = dst").select(F.array("src", "dst").alias("cycle"), one.alias("length"))
+    if most_length is None or most_length > 1:
+        back = graph.where("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        pairs = graph.where("src < dst").join(back, ["src", "dst"], "left_semi")
+        short = short.union(pairs.select(F.array("src", "dst", "src").alias("cycle"), (one + one).alias("length")))
+    short = cut(short.orderBy("length", "cycle").limit(limit))
+    if short.count() >= limit or (most_length is not None and most_length <= 2):
+        return short.orderBy("length", "cycle")
     inside = strong_components(graph)
     kind = inside.schema["src"].dataType.simpleString()
     ddl = f"cycle array<{kind}>, length long"

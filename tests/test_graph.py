@@ -1,6 +1,7 @@
 """Graph operators against brute force on random graphs."""
 
 import random
+import time
 from itertools import permutations
 
 from srcatlas.operators import graph
@@ -156,3 +157,25 @@ def test_first_cycles_against_all():
             own = [(a, b) for a, b, p in graph._components(sorted(edges)) if p == part]
             assert graph.first_cycles(own, 5) == all_cycles(own)[:5]
             assert graph.first_cycles(own, 50, 3) == [c for c in all_cycles(own) if len(c) <= 4][:50]
+
+
+def test_short_cycles_need_no_parts(spark, monkeypatch):
+    edges = {(a, b) for i in range(20) for a, b in ((f"{i:02}", f"{i + 50}"), (f"{i + 50}", f"{i:02}"))} | {("03", "03"), ("50", "01"), ("01", "07"), ("07", "00")}
+    first = [x["cycle"] for x in graph.cycles(frame(spark, edges), 22).collect()]
+    assert first == all_cycles(edges)[:22] and len(first[-1]) > 3
+    monkeypatch.setattr(graph, "strong_components", None)
+    assert [x["cycle"] for x in graph.cycles(frame(spark, edges)).collect()] == first[:20]
+
+
+def test_first_cycles_of_long_rings_in_linear_time():
+    began = time.monotonic()
+    n = 30_000
+    ring = [((i + 1) % n, i) for i in range(n)]
+    assert graph.first_cycles(ring, 20) == [[0, *range(n - 1, -1, -1)]]
+    assert time.monotonic() - began < 20
+    r = random.Random(8)
+    for _ in range(40):
+        edges = {(i, (i + 1) % 9) for i in range(9) if i != 8} | {(8, r.randrange(3)), (r.randrange(9), r.randrange(9)), (r.randrange(5), r.randrange(5, 9))}
+        own = [(a, b) for a, b, p in graph._components(sorted(edges)) if p == min(q for *_, q in graph._components(sorted(edges)))]
+        for limit in (1, 3, 20):
+            assert graph.first_cycles(own, limit) == all_cycles(own)[:limit]
