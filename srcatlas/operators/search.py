@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,17 +127,25 @@ def symbols_by_term(symbols: DataFrame, terms: list[str], limit: int) -> DataFra
 
 
 def text_by_term(files: DataFrame, terms: list[str], per_file: int = 5, enough: int = 100, text: str = "content") -> DataFrame:
-    """search_text for several terms in one scan; only lines that count are shuffled."""
-    lower = F.lower(F.col(text).cast("string"))
-    some = files.where(reduce(lambda a, b: a | b, [lower.contains(t.lower()) for t in terms]))
-    lines = F.transform(F.split(F.col(text).cast("string"), "\r\n|\r|\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text"), F.lower(x).alias("lower")))
-    split = some.select("repo", F.col("path").alias("file"), lines.alias("__lines"))
-    kept = lambda t: F.transform(F.slice(F.filter("__lines", lambda s: s["lower"].contains(t.lower())), 1, per_file), lambda s: F.struct(s["line"].alias("line"), fn.rstrip(s["text"]).alias("text")))
-    each = F.array(*[F.struct(F.lit(i).alias("ord"), kept(t).alias("hits")) for i, t in enumerate(terms)])
-    found = split.select("repo", "file", F.explode(each).alias("t")).select("repo", "file", "t.ord", "t.hits").where(F.size("hits") > 0)
-    first = _first_by_term(found, ["file", "repo"], enough)
+    """search_text for several terms at once.
+
+    One scan looks which texts have a term, and only names are sorted; as each file gives
+    one line at least, each term's first ``enough`` files are all that is read again and
+    split into lines.
+    """
+    lower = files.select("repo", F.col("path").alias("file"), F.lower(F.col(text).cast("string")).alias("__lower"))
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.col("__lower").contains(t.lower()).alias("in")) for i, t in enumerate(terms)])
+    some = lower.select("repo", "file", F.explode(each).alias("t")).where("t.in").select("repo", "file", "t.ord")
+    chosen = _first_by_term(some, ["file", "repo"], enough).select(F.col("repo").alias("__repo"), "file", "ord").distinct()
+    chosen = F.broadcast(chosen)  # ``enough`` rows a term
+    found = files.join(chosen, F.col("repo").eqNullSafe(F.col("__repo")) & F.col("path").eqNullSafe(F.col("file")))
+    term = F.element_at(F.array(*[F.lit(t.lower()) for t in terms]), F.col("ord") + 1)
+    lines = F.transform(F.split(F.col(text).cast("string"), "\r\n|\r|\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("text")))
+    hits = F.slice(F.filter(lines, lambda s: F.contains(F.lower(s["text"]), term)), 1, per_file)
+    hits = F.transform(hits, lambda s: F.struct(s["line"].alias("line"), fn.rstrip(s["text"]).alias("text")))
+    found = found.select("repo", "file", "ord", hits.alias("hits")).where(F.size("hits") > 0)
     before = F.sum(F.size("hits")).over(Window.partitionBy("ord").orderBy("file", "repo").rowsBetween(Window.unboundedPreceding, -1))
-    some = first.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < enough)
+    some = found.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < enough)
     return some.select("ord", "repo", "file", F.explode("hits").alias("h")).select("ord", "repo", "file", "h.line", "h.text")
 
 

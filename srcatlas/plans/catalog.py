@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import text as fn
+from srcatlas.lineage import cut
 from srcatlas.operators import graph, search, stats, upsert
 from srcatlas.plans import pack
 
@@ -452,12 +453,18 @@ def context_pack_budget(spark, sf_dir):
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> pack.Index:
-    """Documents as files with their first word as a symbol that calls their second; pages as routes. A symbol's span is the first line, 40 characters at most."""
+    """Documents as files with their first word as a symbol that calls their second; pages as routes. A symbol's span is the first line, 40 characters at most.
+
+    The texts are read once for both: symbols and calls are stored, as they are in an index.
+    """
     files = document_files(spark, sf_dir)
-    word = lambda i: F.try_element_at(F.regexp_extract_all("content", F.lit(r"\p{L}+"), F.lit(0)), F.lit(i))
+    # matching ends at the word, not at the end of the text; a text without it is passed once
+    word = lambda pattern, i: F.nullif(F.regexp_extract("content", pattern, i), F.lit(""))
+    first, second = word(r"\p{L}++", 0), word(r"^[^\p{L}]*+\p{L}++[^\p{L}]++(\p{L}++)", 1)
     head = F.octet_length(F.substring(F.substring_index("content", "\n", 1), 1, 40)).cast("long")
-    symbols = files.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), word(1).alias("name"), F.lit("function").alias("kind"), F.lit(0).cast("long").alias("start_byte"), head.alias("end_byte"))
-    calls = files.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), word(1).alias("caller_name"), word(2).alias("callee_name"))
+    found = cut(files.select(F.col("doc_id").alias("symbol_id"), "repo", F.col("path").alias("file"), first.alias("name"), second.alias("callee_name"), head.alias("end_byte")))
+    symbols = found.select("symbol_id", "repo", "file", "name", F.lit("function").alias("kind"), F.lit(0).cast("long").alias("start_byte"), "end_byte")
+    calls = found.select("symbol_id", "repo", "file", F.col("name").alias("caller_name"), "callee_name")
     return pack.Index(files, symbols, graph.resolve_calls(calls, symbols), page_routes(spark, sf_dir))
 
 

@@ -1,5 +1,7 @@
 """Symbol, text, route and vector search on small literal tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,18 @@ def test_stats_and_upserts(spark, symbols):
     assert [r["path"] for r in upsert.unchanged_files(scan, files).collect()] == ["a.py"]
     twice = spark.createDataFrame([("r", "f", "x", 1), ("r", "f", "x", 2)], "repo string, file string, name string, seq int")
     assert [r["seq"] for r in upsert.last_wins(twice, ["repo", "file", "name"], ["seq"]).collect()] == [2]
+
+
+def test_text_of_several_terms_splits_only_files_that_count(spark):
+    r = random.Random(4)
+    words = ["on", "ON", "on\ron", "licensed", "off\r\non", "\n", "é", "Σ", ""]
+    rows = [("r", f"{i:03}.txt", " \n".join(r.choice(words) for _ in range(r.randrange(9)))) for i in range(60)] + [("r", None, "on"), ("q", "000.txt", "licensed on "), ("q", "none", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    for enough in (7, 1000):
+        found = search.text_by_term(files, ["licensed", "on", "nowhere"], 2, enough)
+        got = sorted((tuple(x) for x in found.collect()), key=repr)
+        each = [(i, *x) for i, t in enumerate(["licensed", "on"]) for x in search.search_text(files, t, per_file=2, enough=enough).collect()]
+        assert got == sorted(each, key=repr) and got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan[plan.index("Join"):]
+    assert "split(" in plan and "split(" not in ranked[ranked.index("\n"):]
