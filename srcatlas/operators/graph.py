@@ -255,25 +255,33 @@ def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None)
 
     def shortest(start, most: int | None) -> int | None:
         """Length of the shortest cycle of ``start`` and larger nodes, if there is one; of one longer than ``most`` only ``most`` + 1."""
-        ends = set(after[start])
-        steps, todo = {start: 0}, deque([start])
-        while todo:
-            n = todo.popleft()
-            if n in ends:
-                return steps[n] + 1
-            if most is not None and steps[n] >= most:
+        # both ways at once, each time from the side that has fewer nodes to go on from
+        seen, ends, ways, steps = ({start}, {start}), [[start], [start]], (after, before), 0
+        while all(ends):
+            if most is not None and steps >= most:
                 return most + 1
-            for m in before.get(n, ()):
-                if m >= start and m not in steps:
-                    steps[m] = steps[n] + 1
-                    todo.append(m)
+            i = int(len(ends[0]) > len(ends[1]))
+            reached = []
+            for n in ends[i]:
+                for m in ways[i].get(n, ()):
+                    if m in seen[1 - i]:
+                        return steps + 1
+                    if m > start and m not in seen[i]:
+                        seen[i].add(m)
+                        reached.append(m)
+            ends[i] = reached
+            steps += 1
         return None
 
     live = least_ones()
+    floor: dict = {}  # no cycle from a node is shorter
     length = 1
     while live and len(found) < limit and (most_length is None or length <= most_length):
         n, still = len(found), []
         for start in live:
+            if floor.get(start, 0) > length:
+                still.append(start)
+                continue
             steps, whole = back(start, length - 1)
             if not whole or any(m in steps for m in after[start]):
                 still.append(start)
@@ -302,6 +310,7 @@ def first_cycles(edges: list[tuple], limit: int, most_length: int | None = None)
             for start in live:
                 known = shortest(start, best)
                 if known is not None:
+                    floor[start] = known
                     still.append(start)
                     best = known if best is None else min(best, known)
             live = still
